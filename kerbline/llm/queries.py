@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import chat, line_dedup, lm, mixing, packing, quality, secrets, simhash
+from kerbline.llm import ann, chat, line_dedup, lm, mixing, packing, quality, secrets, simhash
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -22,6 +22,11 @@ def op1_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
     return classes.select("doc_id", shown.alias("fingerprint"), "component_id")
 
 
+def op2_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vectors = spark.read.parquet(f"{sf_dir}/embeddings.parquet")
+    return ann.search(vectors, vectors.where("vec_id % 100 = 0"))
+
+
 def op3_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     out = line_dedup.dedup_lines(_docs(spark, sf_dir))
     return out.select("doc_id", "n_lines", "n_removed", F.sha2("text", 256).alias("text_sha256"))
@@ -60,6 +65,7 @@ def op10_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "op1_simhash": op1_simhash,
+    "op2_ann": op2_ann,
     "op3_line_dedup": op3_line_dedup,
     "op4_quality": op4_quality,
     "op5_chat": op5_chat,
