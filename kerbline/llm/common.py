@@ -2,23 +2,23 @@
 
 from __future__ import annotations
 
-import string
-
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 #: Separators of words: space and U+0009 to U+000D. ``bytes.split()`` uses the same six.
 SPACES = " \t\n\x0b\x0c\r"
+#: The same as a Java pattern of one or more.
+SPACE_RUN = r"[\x20\x09-\x0D]+"
 
 
 def words(text: Column) -> Column:
     """The words of a text, as an array; null gives an empty array."""
-    spaced = F.translate(F.coalesce(text, F.lit("")), SPACES[1:], " " * 5)
-    return F.array_remove(F.split(spaced, " "), "")
+    return F.array_remove(F.split(F.coalesce(text, F.lit("")), SPACE_RUN), "")
 
 
-def ascii_lower(text: Column) -> Column:
-    return F.translate(text, string.ascii_uppercase, string.ascii_lowercase)
+def count_chars(text: Column, marks: str) -> Column:
+    """How many characters of ``marks`` (a Java character class) a text has; ``translate`` would cost ten times as much."""
+    return F.length(text) - F.length(F.regexp_replace(text, f"[{marks}]+", ""))
 
 
 def text_key(text: Column) -> Column:

@@ -1,8 +1,8 @@
 """Deletion of repeated lines by winnowing over line hashes. DataFrame functions only.
 
 A document is the sequence of its lines that hold a word. A line goes if it lies in a run of ``window`` consecutive
-lines that also starts earlier (smaller id, then text key, then position), or if it alone has ``solo_words`` words or
-more and also stands earlier. Of every window the least line hash is selected, so equal windows select the same line;
+lines that also starts earlier (smaller id, then text key, then position), or if it alone has ``solo_chars``
+characters or more and also stands earlier. Of every window the least line hash is selected, so equal windows select the same line;
 selected lines (and long single lines) are posted, positions are joined on equal fingerprints, and each shared posting
 is extended both ways to the windows whose minimum it is. Only what the earlier occurrence confirms is deleted.
 """
@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import SPACES, same_row, text_key, words
+from kerbline.llm.common import SPACES, same_row, text_key
 from kerbline.runtime import materialize
 
 
@@ -25,22 +25,17 @@ def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
-def _full(line: Column) -> Column:
-    return F.length(F.translate(line, SPACES, "")) > 0
-
-
-def removed_lines(docs: DataFrame, id_col: str, text_col: str, window: int, solo_words: int) -> DataFrame:
+def removed_lines(docs: DataFrame, id_col: str, text_col: str, window: int, solo_chars: int) -> DataFrame:
     """``(id, key, gone)``: positions among all lines of the text that go; rows without any are absent."""
     text, w = F.col(text_col), window
+    trimmed = F.transform(_lines(text), lambda x: F.btrim(x, F.lit(SPACES)))
     line = F.transform(
-        _lines(text),
-        lambda x, i: F.struct(
-            i.cast("int").alias("pos"), _hashes(F.btrim(x, F.lit(SPACES))).alias("h"), (F.size(words(x)) >= solo_words).alias("solo"), _full(x).alias("full")
-        ),
+        trimmed,
+        lambda x, i: F.struct(i.cast("int").alias("pos"), _hashes(x).alias("h"), (F.length(x) >= solo_chars).alias("solo"), (x != "").alias("full")),
     )
     rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("key"), F.filter(line, lambda x: x["full"]).alias("a"))
     hs = F.transform("a", lambda x: x["h"])
-    rows = rows.select("id", "key", "a", hs.alias("hs"), F.size("a").alias("n"))
+    rows = rows.select("id", "key", "a", hs.alias("hs"), F.transform("a", lambda x: x["pos"]).alias("at"), F.size("a").alias("n"))
     minimum = lambda i: F.array_min(
         F.transform(F.slice("hs", i + 1, w), lambda h, j: F.struct(h["a"].alias("h"), (i + j).alias("at")))
     )["at"]
@@ -50,16 +45,14 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, window: int, solo
     grams = F.transform(
         "least",
         lambda m: F.struct(
-            F.get("hs", m["at"]).alias("f"), _hashes(F.lit(w), F.slice("hs", m["start"] + 1, w)).alias("gram"), m["start"].alias("start"), F.lit(w).alias("length")
+            F.get("hs", m["at"]).alias("f"), _hashes(F.lit(w), F.slice("hs", m["start"] + 1, w)).alias("gram"), m["start"].alias("start"), F.slice("at", m["start"] + 1, w).alias("covers")
         ),
     )
     solos = F.transform(
         F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.coalesce(F.get("a", i)["solo"], F.lit(False))),
-        lambda i: F.struct(F.get("hs", i).alias("f"), _hashes(F.lit(1), F.slice("hs", i + 1, 1)).alias("gram"), i.alias("start"), F.lit(1).alias("length")),
+        lambda i: F.struct(F.get("hs", i).alias("f"), _hashes(F.lit(1), F.slice("hs", i + 1, 1)).alias("gram"), i.alias("start"), F.slice("at", i + 1, 1).alias("covers")),
     )
-    posted = rows.select(
-        "id", "key", F.transform("a", lambda x: x["pos"]).alias("at"), F.explode(F.concat(grams, solos)).alias("p")
-    ).select("id", "key", "p.*", F.expr("slice(at, p.start + 1, p.length)").alias("covers"))
+    posted = rows.select("id", "key", F.explode(F.concat(grams, solos)).alias("p")).select("id", "key", "p.*")
     posted = materialize(posted, "postings")
     shared = posted.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
     met = posted.join(shared, "f", "left_semi")
@@ -69,26 +62,27 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, window: int, solo
     return later.select("id", "key", F.explode("covers").alias("pos")).groupBy("id", "key").agg(F.collect_set("pos").alias("gone"))
 
 
-def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, solo_words: int = 10) -> DataFrame:
+def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, solo_chars: int = 80) -> DataFrame:
     """``docs`` with later repeated lines deleted from the text, and columns ``n_lines`` and ``n_removed``.
 
     Lines are compared without white space at their ends; lines without a word stay. A null text stays null (0 lines).
     A null id counts as smallest. Rows with the same id and text are one document and lose the same lines. Columns of
     ``docs`` called ``n_lines`` or ``n_removed`` are replaced.
     """
-    gone = removed_lines(docs, id_col, text_col, window, solo_words)
+    gone = removed_lines(docs, id_col, text_col, window, solo_chars)
     gone = gone.select(F.col("id").alias("__kerb_id"), F.col("key").alias("__kerb_key"), F.col("gone").alias("__kerb_gone"))
     keyed = docs.withColumns({"__kerb_id": F.col(id_col).cast("long"), "__kerb_key": text_key(F.col(text_col))})
     joined = keyed.join(gone, same_row(keyed, gone, ["__kerb_id", "__kerb_key"]), "left").drop(gone["__kerb_id"]).drop(gone["__kerb_key"])
-    lines = joined.withColumn("__kerb_lines", _lines(F.col(text_col)))
+    count = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
+    lines = joined.withColumn("__kerb_lines", F.when(F.col("__kerb_gone").isNotNull(), _lines(F.col(text_col))))
     kept = F.array_except(F.sequence(F.lit(0), F.size("__kerb_lines") - 1), F.col("__kerb_gone"))
     text = F.array_join(F.transform(kept, lambda i: F.get("__kerb_lines", i)), "\n")
     out = lines.withColumns(
         {
             text_col: F.when(F.col("__kerb_gone").isNull(), F.col(text_col)).otherwise(text),
-            "n_lines": F.when(F.col(text_col).isNull(), F.lit(0)).otherwise(F.size("__kerb_lines")).cast("long"),
-            "n_removed": F.coalesce(F.size("__kerb_gone"), F.lit(0)).cast("long"),
+            "n_lines": F.coalesce(count, F.lit(0)).cast("long"),
+            "n_removed": F.when(F.col("__kerb_gone").isNull(), 0).otherwise(F.size("__kerb_gone")).cast("long"),
         }
     )
     names = [c for c in docs.columns if c not in ("n_lines", "n_removed")]
-    return out.withColumn("n_removed", F.greatest("n_removed", F.lit(0))).select(*names, "n_lines", "n_removed")
+    return out.select(*names, "n_lines", "n_removed")

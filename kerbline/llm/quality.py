@@ -9,33 +9,30 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import SPACES, words
+from kerbline.llm.common import SPACE_RUN, SPACES, count_chars, words
 
-#: What a sentence may end with, once closing quotes and brackets are taken off.
-TERMINALS = ".!?…。！？؟।:;"
-CLOSERS = "\"'”’»)]}"
+#: A sentence's end, with closing quotes and brackets after it.
+ENDING = r"[.!?…。！？؟।:;][\"'”’»)\]}]*[\x20\x09-\x0D]*$"
+#: Characters of symbols, and marks between the entries of a menu, as Java character classes.
 SYMBOLS = "#*$%&|<>"
+SEPARATORS = "|›»•·"
 #: A line with one of these, in lower case, is boilerplate.
 BOILERPLATE = (
     "all rights reserved", "cookie", "javascript", "terms of service", "terms of use", "privacy policy", "licensed under",
-    "click here", "subscribe to", "sign in", "log in", "lorem ipsum",
+    "click here", "subscribe to", "lorem ipsum",
 )
-#: Marks between the entries of a menu.
-SEPARATORS = "|›»•·"
 
 
 def line_fails(line: Column, n_words: Column) -> Column:
     """Whether a line with ``n_words`` words fails a rule. At least one word is assumed."""
-    ending = F.right(F.rtrim(F.translate(line, SPACES + CLOSERS, " " * len(SPACES + CLOSERS))), F.lit(1))
-    count = lambda marks: F.length(line) - F.length(F.translate(line, marks, ""))
     low = F.lower(line)
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | F.contains(low, F.lit(p))
-    no_end = F.length(F.translate(ending, TERMINALS, "")) > 0
-    menu = 5 * count(SEPARATORS) >= n_words
-    symbols = 10 * count(SYMBOLS) >= 3 * n_words
-    shouts = (n_words >= 3) & (2 * count("!") >= n_words)
+    no_end = ~F.rlike(line, F.lit(ENDING))
+    menu = 5 * count_chars(line, SEPARATORS) >= n_words
+    symbols = 10 * count_chars(line, SYMBOLS) >= 3 * n_words
+    shouts = (n_words >= 3) & (2 * count_chars(line, "!") >= n_words)
     return no_end | menu | symbols | shouts | phrase
 
 
@@ -46,7 +43,6 @@ def judge(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5, prefix
     """
     text = F.coalesce(F.col(text_col), F.lit(""))
     p = {n: f"__kerb_{n}" for n in ("w", "n", "h", "s", "l", "at", "good", "n_good")}
-    count = lambda marks: (F.length(text) - F.length(F.translate(text, marks, ""))).cast("long")
     d = docs.withColumn(p["w"], words(text))
     d = d.withColumn(p["n"], F.size(p["w"]))
     word = lambda i: F.get(p["w"], i)
@@ -65,7 +61,7 @@ def judge(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5, prefix
         lambda acc, i: F.struct((acc["n"] + i + 5 - F.greatest(i, acc["end"])).alias("n"), (i + 5).alias("end")),
         lambda acc: acc["n"].cast("long"),
     )
-    line = F.filter(F.split(text, "\n"), lambda x: F.length(F.translate(x, SPACES, "")) > 0)
+    line = F.filter(F.split(text, "\n"), lambda x: F.btrim(x, F.lit(SPACES)) != "")
     judged = F.transform(line, lambda x: F.struct(x.alias("x"), F.size(words(x)).alias("n")))
     d = d.withColumn(p["l"], judged)
     d = d.withColumn(p["good"], F.filter(p["l"], lambda x: ~line_fails(x["x"], x["n"])))
@@ -73,8 +69,8 @@ def judge(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5, prefix
     d = d.withColumns({p["n_good"]: left, p["at"]: covered})
     new = {
         "n_words": F.col(p["n"]).cast("long"),
-        "word_chars": F.length(F.translate(text, SPACES, "")).cast("long"),
-        "n_symbols": count(SYMBOLS),
+        "word_chars": F.length(F.regexp_replace(text, SPACE_RUN, "")).cast("long"),
+        "n_symbols": count_chars(text, SYMBOLS).cast("long"),
         "n_dup_lines": (F.size(p["l"]) - F.size(F.array_distinct(p["l"]))).cast("long"),
         "n_repeat_words": F.col(p["at"]),
     }
