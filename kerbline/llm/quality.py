@@ -29,7 +29,7 @@ def line_fails(line: Column, n_words: Column) -> Column:
     phrase = F.lit(False)
     for p in BOILERPLATE:
         phrase = phrase | F.contains(low, F.lit(p))
-    no_end = ~F.rlike(line, F.lit(ENDING))
+    no_end = (n_words < 20) & ~F.rlike(line, F.lit(ENDING))  # a long paragraph is no fragment
     menu = 5 * count_chars(line, SEPARATORS) >= n_words
     symbols = 10 * count_chars(line, SYMBOLS) >= 3 * n_words
     shouts = (n_words >= 3) & (2 * count_chars(line, "!") >= n_words)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from kerbline.llm import ann, chat, line_dedup, lm, mixing, packing, quality, secrets, simhash
+from kerbline.llm import ann, chat, line_dedup, lm, mixing, packing, quality, secrets, simhash, substring
 
 Query = Callable[[SparkSession, str], DataFrame]
 
@@ -55,6 +55,11 @@ def op7_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", "n_assign", "n_access", "n_hex", F.sha2("base", 256).alias("base_sha256"), "spans")
 
 
+def op8_substring(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = substring.dedup(_docs(spark, sf_dir))
+    return out.select("doc_id", "n_words", "n_removed", F.sha2("kept_text", 256).alias("kept_sha256"))
+
+
 def op9_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(_docs(spark, sf_dir))
 
@@ -71,6 +76,7 @@ QUERIES: dict[str, Query] = {
     "op5_chat": op5_chat,
     "op6_mixing": op6_mixing,
     "op7_secrets": op7_secrets,
+    "op8_substring": op8_substring,
     "op9_packing": op9_packing,
     "op10_lm": op10_lm,
 }
