@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import SPACES, same_row, text_key
+from kerbline.llm.common import SPACES, row_key, same_row
 from kerbline.runtime import materialize
 
 
@@ -21,45 +21,40 @@ def _hashes(*parts: Column) -> Column:
     return F.struct(F.xxhash64(*parts).alias("a"), F.xxhash64(F.lit(1), *parts).alias("b"))
 
 
+def _full_lines(text: Column) -> Column:
+    """The lines that hold a word, without white space at their ends."""
+    return F.filter(F.transform(_lines(text), lambda x: F.btrim(x, F.lit(SPACES))), lambda x: x != "")
+
+
 def _lines(text: Column) -> Column:
     return F.split(F.coalesce(text, F.lit("")), "\n")
 
 
 def removed_lines(docs: DataFrame, id_col: str, text_col: str, window: int, solo_chars: int) -> DataFrame:
-    """``(id, key, gone)``: positions among all lines of the text that go; rows without any are absent."""
+    """``(id, key, gone)``: which of the lines with a word go, counted from 0; rows without any are absent."""
     text, w = F.col(text_col), window
-    trimmed = F.transform(_lines(text), lambda x: F.btrim(x, F.lit(SPACES)))
-    line = F.transform(
-        trimmed,
-        lambda x, i: F.struct(i.cast("int").alias("pos"), _hashes(x).alias("h"), (F.length(x) >= solo_chars).alias("solo"), (x != "").alias("full")),
-    )
-    rows = docs.select(F.col(id_col).cast("long").alias("id"), text_key(text).alias("key"), F.filter(line, lambda x: x["full"]).alias("a"))
-    hs = F.transform("a", lambda x: x["h"])
-    rows = rows.select("id", "key", "a", hs.alias("hs"), F.transform("a", lambda x: x["pos"]).alias("at"), F.size("a").alias("n"))
+    line = F.transform(_full_lines(text), lambda x: F.struct(_hashes(x).alias("h"), (F.length(x) >= solo_chars).alias("solo")))
+    rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(text).alias("key"), line.alias("a"))
+    rows = rows.select("id", "key", "a", F.transform("a", lambda x: x["h"]).alias("hs"), F.size("a").alias("n"))
     minimum = lambda i: F.array_min(
         F.transform(F.slice("hs", i + 1, w), lambda h, j: F.struct(h["a"].alias("h"), (i + j).alias("at")))
-    )["at"]
+    )["h"]
     starts = F.when(F.col("n") >= w, F.sequence(F.lit(0), F.col("n") - w)).otherwise(F.array().cast("array<int>"))
-    rows = rows.withColumn("least", F.transform(starts, lambda i: F.struct(minimum(i).alias("at"), i.alias("start"))))
-    # One posting for each selected line, with the windows that it stands for; and one for each long line.
-    grams = F.transform(
-        "least",
-        lambda m: F.struct(
-            F.get("hs", m["at"]).alias("f"), _hashes(F.lit(w), F.slice("hs", m["start"] + 1, w)).alias("gram"), m["start"].alias("start"), F.slice("at", m["start"] + 1, w).alias("covers")
-        ),
-    )
-    solos = F.transform(
-        F.filter(F.sequence(F.lit(0), F.greatest(F.col("n") - 1, F.lit(0))), lambda i: F.coalesce(F.get("a", i)["solo"], F.lit(False))),
-        lambda i: F.struct(F.get("hs", i).alias("f"), _hashes(F.lit(1), F.slice("hs", i + 1, 1)).alias("gram"), i.alias("start"), F.slice("at", i + 1, 1).alias("covers")),
+    # One posting for each window under the line that it selects, and one for each long line.
+    post = lambda f, start, length: F.struct(
+        f.alias("f"), _hashes(F.lit(length), F.slice("hs", start + 1, length)).alias("gram"), start.cast("int").alias("start"), F.lit(length).alias("length")
     )
-    posted = rows.select("id", "key", F.explode(F.concat(grams, solos)).alias("p")).select("id", "key", "p.*")
-    posted = materialize(posted, "postings")
+    grams = F.transform(starts, lambda i: post(minimum(i), i, w))
+    solos = F.filter(F.transform("a", lambda x, i: F.struct(x["solo"].alias("solo"), post(x["h"]["a"], i, 1).alias("p"))), lambda x: x["solo"])
+    posted = rows.select("id", "key", F.explode(F.concat(grams, F.transform(solos, lambda x: x["p"]))).alias("p"))
+    posted = materialize(posted.select("id", "key", "p.f", "p.gram.a", "p.gram.b", "p.start", "p.length"), "postings")
     shared = posted.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    met = posted.join(shared, "f", "left_semi")
+    met = posted.join(shared, "f", "left_semi").drop("f")
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "start")
-    first = met.groupBy("gram").agg(F.min(place).alias("first"), F.max(place).alias("last")).where("first < last").select("gram", "first")
-    later = met.join(first, "gram").where(place > F.col("first"))
-    return later.select("id", "key", F.explode("covers").alias("pos")).groupBy("id", "key").agg(F.collect_set("pos").alias("gone"))
+    first = met.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
+    later = met.join(first, ["a", "b"]).where(place > F.col("first"))
+    covers = F.explode(F.sequence("start", F.col("start") + F.col("length") - 1))
+    return later.select("id", "key", covers.alias("nth")).groupBy("id", "key").agg(F.collect_set("nth").alias("gone"))
 
 
 def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", window: int = 3, solo_chars: int = 80) -> DataFrame:
@@ -71,11 +66,14 @@ def dedup_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text",
     """
     gone = removed_lines(docs, id_col, text_col, window, solo_chars)
     gone = gone.select(F.col("id").alias("__kerb_id"), F.col("key").alias("__kerb_key"), F.col("gone").alias("__kerb_gone"))
-    keyed = docs.withColumns({"__kerb_id": F.col(id_col).cast("long"), "__kerb_key": text_key(F.col(text_col))})
+    keyed = docs.withColumns({"__kerb_id": F.col(id_col).cast("long"), "__kerb_key": row_key(F.col(text_col))})
     joined = keyed.join(gone, same_row(keyed, gone, ["__kerb_id", "__kerb_key"]), "left").drop(gone["__kerb_id"]).drop(gone["__kerb_key"])
     count = F.length(text_col) - F.length(F.replace(F.col(text_col), F.lit("\n"), F.lit(""))) + 1
     lines = joined.withColumn("__kerb_lines", F.when(F.col("__kerb_gone").isNotNull(), _lines(F.col(text_col))))
-    kept = F.array_except(F.sequence(F.lit(0), F.size("__kerb_lines") - 1), F.col("__kerb_gone"))
+    every = F.sequence(F.lit(0), F.size("__kerb_lines") - 1)
+    full = F.filter(every, lambda i: F.btrim(F.get("__kerb_lines", i), F.lit(SPACES)) != "")
+    lines = lines.withColumn("__kerb_full", F.when(F.col("__kerb_gone").isNotNull(), full))
+    kept = F.array_except(every, F.transform("__kerb_gone", lambda g: F.get("__kerb_full", g)))
     text = F.array_join(F.transform(kept, lambda i: F.get("__kerb_lines", i)), "\n")
     out = lines.withColumns(
         {

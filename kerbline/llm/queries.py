@@ -39,10 +39,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def op5_chat(spark: SparkSession, sf_dir: str) -> DataFrame:
     said = "</s>[INST] ok [/INST]"
-    own = [(-1, 0, "user", said), (-1, 1, "assistant", said)]
     rows = spark.read.parquet(f"{sf_dir}/conversations.parquet").select("conv_id", "turn", "role", "text")
-    rows = rows.unionByName(spark.createDataFrame(own, "conv_id long, turn long, role string, text string"))
-    return chat.digest(chat.format_chats(rows))
+    role = F.when(F.col("id") == 0, "user").otherwise("assistant")
+    own = spark.range(2).select(F.lit(-1).cast("long").alias("conv_id"), F.col("id").alias("turn"), role.alias("role"), F.lit(said).alias("text"))
+    return chat.digest(chat.format_chats(rows.unionByName(own)))
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:

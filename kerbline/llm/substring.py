@@ -19,10 +19,10 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.llm.common import same_row
+from kerbline.llm.common import row_key, same_row
 from kerbline.runtime import materialize
 
 GRAM, SHARD, CROWD = 5, 300_000, 2000
@@ -30,11 +30,6 @@ _BASE = np.uint64(0x9E3779B97F4A7C15)
 _INVERSE = np.uint64(pow(0x9E3779B97F4A7C15, -1, 1 << 64))
 
 
-def row_key(text: Column) -> Column:
-    """Tells rows of one id apart."""
-    return F.xxhash64(F.coalesce(text, F.lit("")), text.isNull()).bitwiseAND(0x7FFFFFFF).cast("int")
-
-
 def tokens(text: str | None) -> list[bytes]:
     return (text or "").encode().split()
 
