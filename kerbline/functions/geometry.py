@@ -30,7 +30,7 @@ def legs(coords: Column) -> Column:
     pairs = F.arrays_zip(F.slice(coords, F.lit(1), n).alias("a"), F.slice(coords, F.lit(2), n).alias("b"))
     return F.transform(
         pairs,
-        lambda p: F.struct(p["0"].alias("a"), p["1"].alias("b"), hypot(p["1"]["x"] - p["0"]["x"], p["1"]["y"] - p["0"]["y"]).alias("d")),
+        lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), hypot(p["b"]["x"] - p["a"]["x"], p["b"]["y"] - p["a"]["y"]).alias("d")),
     )
 
 
