@@ -86,5 +86,9 @@ def judge(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5, prefix
 
 def clean(docs: DataFrame, text_col: str = "text", max_loss: float = 0.5) -> DataFrame:
     """The documents that are kept, with their failing lines removed; same columns."""
-    out = judge(docs, text_col, max_loss, "__kerb_out_").where("__kerb_out_kept")
-    return out.withColumn(text_col, F.col("__kerb_out_clean_text")).select(*docs.columns)
+    out = judge(docs, text_col, max_loss, "__kerb_out_")
+    # A filter on the verdict would be pushed below the steps that make it, and repeat them; a generator is not.
+    none = F.array().cast("array<string>")
+    text = F.explode(F.when(F.col("__kerb_out_kept"), F.array("__kerb_out_clean_text")).otherwise(none)).alias("__kerb_text")
+    kept = out.select(*docs.columns, text)
+    return kept.withColumn(text_col, F.col("__kerb_text")).select(*docs.columns)

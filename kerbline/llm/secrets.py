@@ -4,8 +4,8 @@ A candidate is a run of at least ``SHORTEST`` characters that secrets are made o
 The network reads the candidate's first characters between those around it. It is trained here, in numpy, on at most
 ``SAMPLE`` labelled findings: base findings of the corpus are positive, candidates outside them negative, and each
 negative context also lends itself to a generated secret (positive) so that alphabets which the base patterns do not know
-are learned. A quarter is held out; scores are calibrated on it (Platt's scaling), and the threshold is the highest that
-finds at least ``RECALL`` of its positives.
+are learned. A quarter is held out; scores are calibrated on it (Platt's scaling), and the threshold has the best precision
+of those that find at least ``RECALL`` of its positives.
 """
 
 from __future__ import annotations
@@ -32,6 +32,8 @@ KINDS = (*BASE, "model")
 #: The same findings of "hex", without stopping at shorter runs.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 SHORTEST, SAMPLE, RECALL = 12, 4000, 0.95
+#: Generated secrets that it learns from at least.
+FEWEST = 600
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 _DIGIT = re.compile(r"[0-9]")
 #: What the network reads: characters before, of and after the candidate.
@@ -133,14 +135,21 @@ class CharNet:
         return np.concatenate([self._forward(x[i : i + 1024])[-1] for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> CharNet:
-        """Platt's scaling by gradient descent, then the highest threshold with that recall on these findings."""
+        """Platt's scaling by gradient descent, then the threshold of best precision with that recall on these findings."""
         z = self.logits(x)
         for _ in range(500):
             err = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30))) - y
             self.scale, self.shift = self.scale - 0.05 * float((err * z).mean()), self.shift - 0.05 * float(err.mean())
-        sure = np.sort(self.chances(x)[y > 0.5])
+        chance = self.chances(x)
+        sure, plain = np.sort(chance[y > 0.5]), chance[y <= 0.5]
         if len(sure):
-            self.threshold = float(sure[int((1 - recall) * len(sure))])
+            limit = float(sure[int((1 - recall) * len(sure))])
+            # Thresholds between the negatives and the limit differ little on these findings: half way leaves room on both
+            # sides. Up to a tenth of the negatives may be secrets that the base patterns do not know.
+            below = float(min(np.quantile(plain, 0.9), limit)) if len(plain) else 0.0
+            below = max(below, 1e-9)
+            odds = (limit / max(1 - limit, 1e-12) * below / max(1 - below, 1e-12)) ** 0.5
+            self.threshold = max(odds / (1 + odds), min(limit, 0.5))
         return self
 
     def chances(self, x: np.ndarray) -> np.ndarray:
@@ -162,8 +171,8 @@ def train(findings: list[tuple[str, bool]], recall: float = RECALL, seed: int =
     rng = np.random.default_rng(seed)
     rows = sorted(set(findings))
     plain = [w for w, secret in rows if not secret] or [window("value 2024-01-01T00:00 here", 6, 22), window("see mail5.example.com now", 4, 21)]
-    for w in plain + plain[:1] * max(0, 64 - len(plain)):
-        s = made_up(rng)
+    for i in range(max(FEWEST, len(plain))):
+        w, s = plain[i % len(plain)], made_up(rng)
         rows.append((w[:BEFORE] + s[:WITHIN].ljust(WIDTH - BEFORE - AFTER, "\0") + w[-AFTER:], True))
     rows += [(w, False) for w in plain]
     x, y = _codes([w for w, _ in rows]), np.array([s for _, s in rows], float)

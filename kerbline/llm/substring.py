@@ -19,11 +19,11 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import row_key, same_row
-from kerbline.runtime import materialize
+from kerbline.runtime import drop, materialize
 
 GRAM, SHARD, CROWD = 5, 300_000, 2000
 _BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -245,9 +245,11 @@ def _by_window(pieces: DataFrame, size: int) -> DataFrame:
 
 def removals(docs: DataFrame, size: int) -> DataFrame:
     """``(id, key, marks array<long>)`` for ``docs(id, key, text)``; a mark is a segment's start << 32 | mask of windows."""
-    posts = _posts(docs.select("id", "key", "text"), size)
-    posts = posts.withColumn("n", F.count("*").over(Window.partitionBy("h"))).where("n > 1").drop("n")
-    posts = materialize(posts, "posts")
+    # Counts are combined before the shuffle and joined back, so that an anchor in very many documents meets in no task.
+    every = materialize(_posts(docs.select("id", "key", "text"), size), "anchors")
+    shared = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    posts = materialize(every.join(shared, "h", "left_semi"), "posts")
+    drop(every)
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "at")
     firsts = posts.groupBy("h", "content").agg(F.min(place).alias("first"))
     firsts = materialize(firsts.select("h", "content", "first.id", "first.key", "first.at"), "firsts")
