@@ -88,13 +88,18 @@ def choose_reach(sample: np.ndarray, half: int, books: tuple[np.ndarray, np.ndar
     return max(LEAST, int(np.ceil(share * 1.02 * total)))
 
 
-def usable(vectors: DataFrame, id_col: str, vec_col: str) -> DataFrame:
-    """``(vec_id, v array<double>)`` of the rows that take part: no null, zero or non-finite vector, and of the length that most have."""
+def usable(vectors: DataFrame, id_col: str, vec_col: str, length: int | None = None) -> DataFrame:
+    """``(vec_id, v array<double>)`` of the rows that take part: no null, zero or non-finite vector, and of one length.
+
+    Without a length, the one that most vectors have.
+    """
     v = F.col(vec_col).cast("array<double>")
     ok = v.isNotNull() & (F.size(v) > 0) & F.forall(v, lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & F.exists(v, lambda x: x != 0)
     rows = vectors.where(ok & F.col(id_col).isNotNull()).select(F.col(id_col).cast("long").alias("vec_id"), v.alias("v"))
-    common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
-    return rows.where(F.size("v") == (common[0]["d"] if common else 0))
+    if length is None:
+        common = rows.groupBy(F.size("v").alias("d")).count().orderBy(F.desc("count"), F.desc("d")).limit(1).collect()
+        length = common[0]["d"] if common else 0
+    return rows.where(F.size("v") == length)
 
 
 def search(
@@ -107,13 +112,13 @@ def search(
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vec_col), "vectors")
-    asked = usable(queries, id_col, vec_col).dropDuplicates()
     order = Window.partitionBy("v").orderBy("vec_id")
     entries = rows.dropDuplicates().withColumn("n", F.row_number().over(order)).where(F.col("n") <= k + 1)
     entries = materialize(entries.select("vec_id", "v"), "entries")
     found = entries.orderBy(F.xxhash64("vec_id"), "vec_id").limit(SAMPLE).select("v").toArrow().column("v").to_pylist()
     sample = np.array(found, float) if found else np.zeros((0, 2))
     half = max(1, sample.shape[1] // 2)
+    asked = usable(queries, id_col, vec_col, sample.shape[1]).dropDuplicates()
     total = entries.count()
     # Cells hold a few tens of vectors on average, up to a fixed size of the codebooks.
     size = int(np.clip(round((total / 48) ** 0.5), 1, 256)) if total else 1
