@@ -29,7 +29,7 @@ MACHINE = {
 ACCEPTS = ("reply",)
 
 #: A position after the first character of a control string.
-_CONTROL = r"([<\[])(?=s>|/s>|<SYS>>|</SYS>>|/?INST\]|role=|/role>)"
+_CONTROL = r"(<(?=s>|/s>|<SYS>>|</SYS>>|role=|/role>)|\[(?=/?INST\]))"
 _TURN = r"(?s)(<<SYS>>|\[INST\]|<s>|<role=[^>]*>)(.*?)(?:<</SYS>>|\[/INST\]|</s>|</role>)"
 
 

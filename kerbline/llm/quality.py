@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kerbline.llm.common import SPACE_RUN, SPACES, count_chars, words
 
 #: A sentence's end, with closing quotes and brackets after it.
-ENDING = r"[.!?…。！？؟।:;][\"'”’»)\]}]*[\x20\x09-\x0D]*$"
+ENDING = r"[.!?…。！？؟।:;][\"'”’»)\]}]*[\x20\x09-\x0D]*\z"
 #: Characters of symbols, and marks between the entries of a menu, as Java character classes.
 SYMBOLS = "#*$%&|<>"
 SEPARATORS = "|›»•·"
