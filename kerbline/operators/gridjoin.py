@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from kerbline.functions.geometry import segment_distance2
+from kerbline.functions.geometry import bounds, legs, polygon_distance, segment_distance2
 from kerbline.runtime import materialize
 
 
@@ -55,6 +55,38 @@ def nearest_join(left: DataFrame, right: DataFrame, key: str, size: float, round
     return answered
 
 
+def line_range_join(lines: DataFrame, points: DataFrame, r: float, key: str, straight: bool = False) -> DataFrame:
+    """As :func:`range_join`, for polylines ``(id, coords)``: each leg is joined and the nearest leg of a pair counts.
+
+    ``key`` tells points apart; ``straight`` says that every line has one leg, which saves the second grouping.
+    """
+    leg = lines.select("id", F.explode(legs(F.col("coords"))).alias("leg"))
+    ends = {"x0": "leg.a.x", "y0": "leg.a.y", "x1": "leg.b.x", "y1": "leg.b.y"}
+    pairs = range_join(leg.select("id", *[F.col(v).alias(k) for k, v in ends.items()]), points, r)
+    if straight:
+        return pairs
+    rest = [c for c in points.columns if c != key]
+    return pairs.groupBy("id", key).agg(F.min("d2").alias("d2"), *[F.first(c).alias(c) for c in rest])
+
+
+def nearest_polygon(points: DataFrame, polygons: DataFrame, key: str, size: float, rounds: int = 12) -> DataFrame:
+    """Distance ``d`` of each point ``(key, px, py)`` to the nearest polygon ``(rid, rings)``, 0 inside; rings of cells grow."""
+    answered, reach, waiting = None, size, points.select(key, "px", "py")
+    boxed = materialize(polygons.select("rid", "rings", bounds(F.get("rings", 0)).alias("b")), "polygons")
+    for i in range(rounds):
+        around = cells(F.col("px") - reach, F.col("py") - reach, F.col("px") + reach, F.col("py") + reach, reach)
+        touched = boxed.select("rid", "rings", F.inline(cells(F.col("b.xmin"), F.col("b.ymin"), F.col("b.xmax"), F.col("b.ymax"), reach)))
+        pairs = waiting.select(key, "px", "py", F.inline(around)).join(touched, ["cx", "cy"])
+        best = pairs.groupBy(key).agg(F.min(polygon_distance(F.col("px"), F.col("py"), F.col("rings"))).alias("d"))
+        found = materialize(best.where(F.col("d") <= reach) if i < rounds - 1 else best, "nearest")
+        answered = found if answered is None else answered.unionByName(found)
+        waiting = materialize(waiting.join(found, key, "left_anti"), "waiting")
+        if waiting.isEmpty():
+            break
+        reach *= 4
+    return answered
+
+
 def nearest_of_few(points: DataFrame, centres: DataFrame, key: str) -> DataFrame:
     """Distances of each point to its nearest and second-nearest of a few ranked centres ``(rank, cx, cy)``; K is at most 8.
 
