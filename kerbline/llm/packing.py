@@ -194,7 +194,8 @@ def pack(
         [(int(a), int(b), int(c), int(d), int(e)) for a, b, c, d, e in runs], "length long, first long, n long, bin long, offset long"
     )
     by_length = rows.groupBy("length").agg(F.sort_array(F.collect_list(F.struct("first", "n", "bin", "offset"))).alias("runs"))
-    placed = made.join(by_task.select("length", "task", "before"), ["length", "task"]).withColumn("rank", F.col("nth") + F.col("before"))
+    offsets = by_task.select("length", "task", "before").hint("shuffle_hash")  # grows with the tasks: never broadcast
+    placed = made.join(offsets, ["length", "task"]).withColumn("rank", F.col("nth") + F.col("before"))
     placed = placed.join(F.broadcast(by_length), "length")
     at = F.filter("runs", lambda r: (r["first"] <= F.col("rank")) & (F.col("rank") < r["first"] + r["n"]))[0]
     placed = placed.withColumn("at", at)
