@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from kerbline.llm.common import SPACES, row_key, same_row
-from kerbline.runtime import materialize
+from kerbline.runtime import drop, materialize
 
 
 def _hashes(*parts: Column) -> Column:
@@ -48,11 +48,13 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, window: int, solo
     solos = F.filter(F.transform("a", lambda x, i: F.struct(x["solo"].alias("solo"), post(x["h"]["a"], i, 1).alias("p"))), lambda x: x["solo"])
     posted = rows.select("id", "key", F.explode(F.concat(grams, F.transform(solos, lambda x: x["p"]))).alias("p"))
     posted = materialize(posted.select("id", "key", "p.f", "p.gram.a", "p.gram.b", "p.start", "p.length"), "postings")
-    shared = posted.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f")
-    met = posted.join(shared, "f", "left_semi").drop("f")
+    # What is joined is read back first: a join straight after a grouping could not split a crowded key.
+    shared = materialize(posted.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "shared")
+    met = materialize(posted.join(shared, "f", "left_semi").drop("f"), "met")
+    drop(posted)
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "start")
     first = met.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
-    later = met.join(first, ["a", "b"]).where(place > F.col("first"))
+    later = met.join(materialize(first, "first"), ["a", "b"]).where(place > F.col("first"))
     covers = F.explode(F.sequence("start", F.col("start") + F.col("length") - 1))
     return later.select("id", "key", covers.alias("nth")).groupBy("id", "key").agg(F.collect_set("nth").alias("gone"))
 

@@ -247,13 +247,14 @@ def removals(docs: DataFrame, size: int) -> DataFrame:
     """``(id, key, marks array<long>)`` for ``docs(id, key, text)``; a mark is a segment's start << 32 | mask of windows."""
     # Counts are combined before the shuffle and joined back, so that an anchor in very many documents meets in no task.
     every = materialize(_posts(docs.select("id", "key", "text"), size), "anchors")
-    shared = every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h")
+    # What is joined is read back first: a join straight after a grouping could not split a crowded key.
+    shared = materialize(every.groupBy("h").agg(F.count("*").alias("n")).where("n > 1").select("h"), "shared")
     posts = materialize(every.join(shared, "h", "left_semi"), "posts")
     drop(every)
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "at")
     firsts = posts.groupBy("h", "content").agg(F.min(place).alias("first"))
     firsts = materialize(firsts.select("h", "content", "first.id", "first.key", "first.at"), "firsts")
-    variants = firsts.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1")
+    variants = materialize(firsts.groupBy("h").agg(F.count("*").alias("variants")).where("variants > 1"), "variants")
     matched = firsts.join(variants, "h")
     lists = matched.groupBy("id", "key").agg(F.collect_list(F.struct("h", "content", "at")).alias("wanted"))
     pieces = materialize(_pieces(docs.select("id", "key", "text"), lists, size), "segments")
@@ -264,6 +265,7 @@ def removals(docs: DataFrame, size: int) -> DataFrame:
     masks = materialize(masks, "masks")
     earliest = firsts.join(masks, ["h", "content"], "left")
     earliest = earliest.select("h", "content", F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "at").alias("first"), "mask")
+    earliest = materialize(earliest, "earliest")
     marked = posts.join(earliest, ["h", "content"]).select(
         "id",
         "key",
