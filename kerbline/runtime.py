@@ -49,12 +49,13 @@ def materialize(df: DataFrame, label: str) -> DataFrame:
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
     hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(hadoop)
-    return spark.read.schema(df.schema).parquet(path)
+    back = spark.read.schema(df.schema).parquet(path)
+    back.kerbline_path = path
+    return back
 
 
 def drop(df: DataFrame) -> None:
-    """Delete the files behind a materialised frame that nothing reads any more."""
+    """Delete the table behind a materialised frame that nothing reads any more."""
     spark = df.sparkSession
-    for name in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
-        hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(name)
-        hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
+    hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(df.kerbline_path)
+    hadoop.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(hadoop, True)
