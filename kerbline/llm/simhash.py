@@ -6,11 +6,16 @@ on some part i (a part with t_i = -1 is never probed). The split and the thresho
 probes and candidates, estimated on a bounded sample by dynamic programming; they change cost only, never the result.
 A part's value that more than ``BUCKET`` fingerprints share is not expanded into pairs: its members and probes meet at
 the values one bit away from them (at most 65 fingerprints are that near to one value), which finds the same links.
+
+64 bits of three-word shingles see copies that differ in a word or two. :func:`similar` is the same method for copies with a
+word in fifty replaced (a Jaccard similarity of 0.8 over five-word shingles): 512 bits of distinct words in 24 parts of 21
+bits, with threshold 0 for each, and verification by distance. By the pigeonhole principle any two fingerprints within 23
+bits share a part; of those within ``LIMIT`` bits nearly all do.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -28,6 +33,10 @@ SAMPLE = 20_000
 BUCKET = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
+#: Wide fingerprints: words of 64 bits, parts of each, bits of a part, and the distance that still links.
+WIDE, PARTS, WIDTH, LIMIT = 8, 3, 21, 50
+#: Wide fingerprints with one part in common that are compared in one place; more are compared block by block.
+CROWD = 4096
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -176,16 +185,129 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     """
     prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
     distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
-    roots = connected_components(links(distinct, radius)).withColumnRenamed("node", "fp")
+    return _classes(prints, distinct, links(distinct, radius))
+
+
+def _classes(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
+    roots = connected_components(edges).withColumnRenamed("node", "fp")
     rooted = distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = rooted.groupBy("root").agg(F.min("least").alias("component_id"))
     classes = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id")
 
 
-def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", size: int = 3, radius: int = 2) -> DataFrame:
-    """The rows of ``docs`` without all but one document of each component (least id, then text key)."""
-    classes = materialize(near_duplicates(docs, id_col, text_col, size, radius), "classes")
+def wide_fingerprint(text: str | None) -> bytes:
+    """SimHash of the distinct words of the whole text; zeros without words."""
+    parts = list(set((text or "").encode().lower().split()))
+    ones, n = np.zeros(64 * WIDE, np.int64), len(parts)
+    if not n:
+        return bytes(8 * WIDE)
+    spread = np.arange(1, WIDE + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)
+    for at in range(0, n, BLOCK // WIDE):
+        h = np.fromiter((xxhash.xxh64_intdigest(p, 42) for p in parts[at : at + BLOCK // WIDE]), np.uint64)
+        h = h[:, None] + spread
+        h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
+        h = (h ^ (h >> np.uint64(27))) * np.uint64(0x94D049BB133111EB)
+        h ^= h >> np.uint64(31)
+        ones += np.unpackbits(h.view(np.uint8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
+    return np.packbits(2 * ones > n, bitorder="little").tobytes()
+
+
+def near_pairs(group: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs ``(i, j)`` of equal group, rows sorted by it, whose fingerprints differ in at most ``limit`` bits: one spanning forest."""
+    own = np.arange(len(group))
+
+    def find(i: int) -> int:
+        while own[i] != i:
+            own[i] = own[own[i]]
+            i = own[i]
+        return i
+
+    u, v = [], []
+    for lag in range(1, len(group)):
+        at = np.flatnonzero(group[lag:] == group[:-lag])
+        if not len(at):
+            break
+        d = np.bitwise_count(fps[at] ^ fps[at + lag]).sum(axis=1)
+        for i in at[d <= limit].tolist():
+            a, b = find(i), find(i + lag)
+            if a != b:
+                own[max(a, b)] = min(a, b)
+                u.append(i)
+                v.append(i + lag)
+    return np.array(u, np.int64), np.array(v, np.int64)
+
+
+def _wide_links(nodes: DataFrame) -> DataFrame:
+    """Edges ``(u, v)`` between ``nodes(fp, wide)`` that share a part and are near; rows that share one meet in blocks."""
+
+    def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        shifts, mask = (np.arange(PARTS, dtype=np.uint64) * np.uint64(WIDTH)), np.uint64((1 << WIDTH) - 1)
+        part = np.arange(WIDE * PARTS, dtype=np.int64) << 32
+        for b in batches:
+            if len(b):
+                x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(len(b), WIDE)
+                keys = ((x[:, :, None] >> shifts) & mask).reshape(len(b), -1).astype(np.int64) | part
+                fp = np.repeat(b.column(0).to_numpy(), WIDE * PARTS)
+                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(fp)], ["slot", "fp"])
+
+    posted = materialize(nodes.select("fp", "wide").mapInArrow(posts, "slot long, fp long"), "slots")
+    shared = materialize(posted.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1"), "shared")
+    met = posted.join(shared, "slot").withColumn("blocks", F.ceil(F.col("n") / CROWD))
+    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
+    met = met.select("slot", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
+    met = met.select(F.xxhash64("slot", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "fp").join(nodes, "fp")
+    met = met.repartition("place").sortWithinPartitions("place")
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        rest: list[pa.RecordBatch] = []
+
+        def report(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
+            t = pa.Table.from_batches(parts)
+            ids = t.column("fp").to_numpy()
+            x = np.frombuffer(b"".join(t.column("wide").to_pylist()), "<u8").reshape(len(ids), WIDE)
+            i, j = near_pairs(t.column("place").to_numpy(), x, LIMIT)
+            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["u", "v"])
+
+        for b in batches:
+            place = b.column(0).to_numpy()
+            if not len(place):
+                continue
+            cut = int(np.searchsorted(place, place[-1]))  # the last group may go on in the next batch
+            if rest and (cut or rest[-1].column(0)[-1].as_py() != place[0]):
+                yield report([*rest, b.slice(0, cut)])
+                rest = []
+            elif cut:
+                yield report([b.slice(0, cut)])
+            rest.append(b.slice(cut))
+        if rest:
+            yield report(rest)
+
+    return met.select("place", "fp", "wide").mapInArrow(compare, "u long, v long").distinct()
+
+
+def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """As :func:`near_duplicates`, by wide fingerprints; ``fp`` is a hash of one. Odd input has the same results."""
+    source = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), text_key(F.col(text_col)).alias("text_key"))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            wide = pa.array([wide_fingerprint(t.as_py()) for t in b.column(1)], pa.binary())
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), wide], ["doc_id", "text_key", "wide"])
+
+    prints = source.mapInArrow(run, "doc_id long, text_key long, wide binary").withColumn("fp", F.xxhash64("wide"))
+    prints = materialize(prints, "wide")
+    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"))
+    distinct = materialize(distinct, "distinct")
+    return _classes(prints.drop("wide"), distinct.drop("wide"), _wide_links(distinct.select("fp", "wide")))
+
+
+def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes_of: Callable = near_duplicates) -> DataFrame:
+    """The rows of ``docs`` without all but one document of each component (least id, then text key).
+
+    ``classes_of`` is :func:`near_duplicates` or :func:`similar`.
+    """
+    classes = materialize(classes_of(docs, id_col, text_col), "classes")
     first = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_key")
     group = [
         F.col("component_id").isNull().alias("g0"),

@@ -114,6 +114,49 @@ def test_links_find_every_pair(spark, monkeypatch, radius, bucket):
     assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
 
 
+def slow_similar(texts):
+    """Components of wide fingerprints that share a part and are within the limit."""
+    fps = [int.from_bytes(simhash.wide_fingerprint(t), "little") for t in texts]
+    mask = (1 << simhash.WIDTH) - 1
+    keys = [[fp >> (64 * w + simhash.WIDTH * k) & mask for w in range(simhash.WIDE) for k in range(simhash.PARTS)] for fp in fps]
+    own = list(range(len(fps)))
+
+    def find(i):
+        while own[i] != i:
+            i = own[i]
+        return i
+
+    for i in range(len(fps)):
+        for j in range(i):
+            if bin(fps[i] ^ fps[j]).count("1") <= simhash.LIMIT and any(a == b for a, b in zip(keys[i], keys[j])):
+                own[find(i)] = find(j)
+    return [find(i) for i in range(len(fps))]
+
+
+@pytest.mark.parametrize("crowd", [3, 4096])
+def test_similar(spark, empty, monkeypatch, crowd):
+    """Copies with replaced words, in blocks of either size."""
+    monkeypatch.setattr(simhash, "CROWD", crowd)
+    rng = random.Random(7)
+    texts = []
+    for _ in range(12):
+        words = prose(rng, rng.randint(100, 300), [f"v{i}" for i in range(2000)]).split()
+        for _ in range(12):
+            near = list(words)
+            for _ in range(rng.randint(0, 4)):
+                near[rng.randrange(len(near))] = f"n{rng.random()}"
+            texts.append(" ".join(near))
+    texts += ["", None, "a b", "b  a", "a c"]
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, wide string").repartition(4)
+    group = slow_similar(texts)
+    got = {r.doc_id: r.component_id for r in simhash.similar(d).collect()}
+    assert got == {i: min(j for j, h in enumerate(group) if h == g) for i, g in enumerate(group)}
+    assert len(set(group)) <= 20 and got[144] == got[145] and got[146] == got[147]
+    kept = simhash.keep_one(d, classes_of=simhash.similar)
+    assert kept.count() == len(set(group)) and kept.columns == d.columns
+    assert simhash.similar(empty).count() == 0 and simhash.keep_one(empty, classes_of=simhash.similar).count() == 0
+
+
 def test_thresholds_add_up():
     sample = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 500)
     for total in (10, 10**4, 10**9):
