@@ -9,6 +9,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.operators.gridjoin import keep_first
+from kerbline.runtime import materialize
 
 __all__ = [
     "complete", "degrees", "drop_repeated_names", "first_column", "fused_edges", "keep_first", "left_chain", "number_rows",
@@ -20,7 +21,8 @@ def number_rows(df: DataFrame, order: Sequence[str], name: str = "n", start: int
     """Dense numbers in order. Parts get their offsets from counts, so rows stay spread over tasks."""
     parts = df.repartitionByRange(*[F.col(c) for c in order]).withColumn("__kerb_part", F.spark_partition_id())
     local = Window.partitionBy("__kerb_part").orderBy(*order)
-    ranked = parts.withColumn("__kerb_local", F.row_number().over(local))
+    # Written once: a second evaluation could draw other range bounds.
+    ranked = materialize(parts.withColumn("__kerb_local", F.row_number().over(local)), "numbered")
     sizes = ranked.groupBy("__kerb_part").agg(F.max("__kerb_local").alias("__kerb_size"))
     before = F.sum("__kerb_size").over(Window.orderBy("__kerb_part").rowsBetween(Window.unboundedPreceding, -1))
     offsets = sizes.select("__kerb_part", F.coalesce(before, F.lit(0)).alias("__kerb_before"))
