@@ -8,9 +8,10 @@ A part's value that more than ``BUCKET`` fingerprints share is not expanded into
 the values one bit away from them (at most 65 fingerprints are that near to one value), which finds the same links.
 
 64 bits of three-word shingles see copies that differ in a word or two. :func:`similar` is the same method for copies with a
-word in fifty replaced (a Jaccard similarity of 0.8 over five-word shingles): 512 bits of distinct words in 24 parts of 21
-bits, with threshold 0 for each, and verification by distance. By the pigeonhole principle any two fingerprints within 23
-bits share a part; of those within ``LIMIT`` bits nearly all do.
+word in fifty replaced (a Jaccard similarity of 0.8 over five-word shingles): 512 bits of distinct words in 21 parts of 24
+bits, with threshold 0 for each, and verification by distance. By the pigeonhole principle any two fingerprints within 20
+bits share a part; of those within ``LIMIT`` bits nearly all do. Beyond 2 ** 18 texts parts get wider, a bit for each
+doubling, so that what meets by chance stays in proportion.
 """
 
 from __future__ import annotations
@@ -33,8 +34,8 @@ SAMPLE = 20_000
 BUCKET = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
-#: Wide fingerprints: words of 64 bits, parts of each, bits of a part, and the distance that still links.
-WIDE, PARTS, WIDTH, LIMIT = 8, 3, 21, 50
+#: Wide fingerprints: words of 64 bits, least bits of a part, and the distance that still links.
+WIDE, WIDTH, LIMIT = 8, 24, 50
 #: Wide fingerprints with one part in common that are compared in one place; more are compared block by block.
 CROWD = 4096
 
@@ -238,17 +239,24 @@ def near_pairs(group: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarr
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
+def part_width(total: int) -> int:
+    """Bits of a part for so many fingerprints."""
+    return min(48, max(WIDTH, (total - 1).bit_length() + 6))
+
+
 def _wide_links(nodes: DataFrame) -> DataFrame:
     """Edges ``(u, v)`` between ``nodes(fp, wide)`` that share a part and are near; rows that share one meet in blocks."""
+    width = part_width(nodes.count())
+    parts = 64 * WIDE // width
 
     def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        shifts, mask = (np.arange(PARTS, dtype=np.uint64) * np.uint64(WIDTH)), np.uint64((1 << WIDTH) - 1)
-        part = np.arange(WIDE * PARTS, dtype=np.int64) << 32
+        place, part = np.int64(1) << np.arange(width, dtype=np.int64), np.arange(parts, dtype=np.int64) << 48
         for b in batches:
             if len(b):
-                x = np.frombuffer(b"".join(b.column(1).to_pylist()), "<u8").reshape(len(b), WIDE)
-                keys = ((x[:, :, None] >> shifts) & mask).reshape(len(b), -1).astype(np.int64) | part
-                fp = np.repeat(b.column(0).to_numpy(), WIDE * PARTS)
+                x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), 8 * WIDE)
+                bits = np.unpackbits(x, axis=1, bitorder="little")[:, : parts * width].reshape(len(b), parts, width)
+                keys = bits @ place | part
+                fp = np.repeat(b.column(0).to_numpy(), parts)
                 yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(fp)], ["slot", "fp"])
 
     posted = materialize(nodes.select("fp", "wide").mapInArrow(posts, "slot long, fp long"), "slots")

@@ -117,8 +117,8 @@ def test_links_find_every_pair(spark, monkeypatch, radius, bucket):
 def slow_similar(texts):
     """Components of wide fingerprints that share a part and are within the limit."""
     fps = [int.from_bytes(simhash.wide_fingerprint(t), "little") for t in texts]
-    mask = (1 << simhash.WIDTH) - 1
-    keys = [[fp >> (64 * w + simhash.WIDTH * k) & mask for w in range(simhash.WIDE) for k in range(simhash.PARTS)] for fp in fps]
+    w = simhash.part_width(len(set(fps)))
+    keys = [[fp >> w * k & ((1 << w) - 1) for k in range(64 * simhash.WIDE // w)] for fp in fps]
     own = list(range(len(fps)))
 
     def find(i):
