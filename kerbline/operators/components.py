@@ -2,17 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from kerbline.runtime import drop, materialize
 
 
-def _state(edges: DataFrame) -> tuple:
-    row = edges.agg(
-        F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("h")
-    ).first()
-    return row["n"], row["h"]
+def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+    """The edges as a table, with their number and a hash that does not depend on order, observed as they are written."""
+    seen = Observation()
+    checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
+    table = materialize(edges.observe(seen, F.count("*").alias("n"), checksum.alias("h")), "cc")
+    return table, (seen.get["n"], seen.get["h"])
 
 
 def _large_star(edges: DataFrame) -> DataFrame:
@@ -35,13 +36,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     The edge list never grows beyond its first size by more than the node count, a hub's neighbours are pre-aggregated
     by ``min`` before the shuffle, and every round is written to the shared folder. Self-loops and nulls give no row.
     """
-    now = materialize(edges.select("u", "v").where("u <> v").distinct(), "cc")
-    before = _state(now)
+    now, before = _written(edges.select("u", "v").where("u <> v").distinct())
     for _ in range(max_rounds):
         if not before[0]:
             break
-        after = materialize(_small_star(_large_star(now)), "cc")
-        state = _state(after)
+        after, state = _written(_small_star(_large_star(now)))
         drop(now)
         now = after
         if state == before:
