@@ -66,8 +66,8 @@ def _kept(shape: tuple[int, int], ids: np.ndarray, runs: np.ndarray, layer: int,
 def predict(nodes: DataFrame, edges: DataFrame, w: Weights, layers: int, runs: int = 0, dropout: float = 0.2) -> DataFrame:
     """``(id, run, score)`` for ``nodes(id, x array<double>)`` and ``edges(src, dst)``; run 0 is without dropout.
 
-    A layer joins both ends of each edge, computes gated messages in Arrow batches, means them on the receiving node and
-    normalises. All neighbours are used, so results do not depend on sampling.
+    A layer projects the nodes in Arrow batches, joins both ends of each edge, means the gated messages on the receiving
+    node and normalises. All neighbours are used, so results do not depend on sampling.
     """
     start = nodes.select(F.col("id").cast("long").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(runs))).alias("run"), "x")
 
@@ -87,17 +87,19 @@ def predict(nodes: DataFrame, edges: DataFrame, w: Weights, layers: int, runs: i
 
 
 def _layer(h: DataFrame, edges: DataFrame, w: Weights, i: int, dropout: float) -> DataFrame:
-    size = w[f"lin{i}"].shape[1]
-    a = h.select(F.col("id").alias("src"), "run", F.col("x").alias("xs"))
-    b = h.select(F.col("id").alias("dst"), "run", F.col("x").alias("xd"))
-    pairs = edges.join(a, "src").join(b, ["dst", "run"]).select(F.col("src").alias("id"), "run", F.concat("xs", "xd").alias("x"))
-
-    def message(x: np.ndarray, w: Weights, ids: np.ndarray, run: np.ndarray) -> np.ndarray:
-        other = x[:, x.shape[1] // 2 :]
-        return sigmoid(x @ w[f"gate{i}"] + w[f"gate{i}b"]) * (other @ w[f"lin{i}"] + w[f"lin{i}b"])
-
-    sent = _dense(pairs, w, message, "m")
-    mean = sent.groupBy("id", "run").agg(F.array(*[F.avg(F.get("m", k)) for k in range(size)]).alias("m"))
+    """The gate is linear in both ends, so Python projects nodes only and edges stay in the JVM, whatever their number."""
+    inner, size = w[f"lin{i}"].shape
+
+    def project(x: np.ndarray, w: Weights, ids: np.ndarray, run: np.ndarray) -> np.ndarray:
+        gate = w[f"gate{i}"]
+        return np.concatenate((x @ gate[:inner] + w[f"gate{i}b"], x @ gate[inner:], x @ w[f"lin{i}"] + w[f"lin{i}b"]), axis=1)
+
+    made = materialize(_dense(h, w, project, "p"), "projected")
+    own = made.select(F.col("id").alias("src"), "run", F.slice("p", 1, size).alias("own"))
+    other = made.select(F.col("id").alias("dst"), "run", F.slice("p", size + 1, 2 * size).alias("other"))
+    pairs = edges.join(own, "src").join(other, ["dst", "run"])
+    sent = [F.avg(F.get("other", size + k) / (1 + F.exp(-(F.get("own", k) + F.get("other", k))))) for k in range(size)]
+    mean = pairs.groupBy(F.col("src").alias("id"), "run").agg(F.array(*sent).alias("m"))
     zero = F.array_repeat(F.lit(0.0), size)
     both = h.join(mean, ["id", "run"], "left").select("id", "run", F.concat("x", F.coalesce("m", zero)).alias("x"))
 

@@ -161,6 +161,19 @@ def test_network_matches_a_dense_mirror(spark):
     assert {r.id: r.score for r in gnn.uncertainty(got).collect()} == pytest.approx(dict(enumerate(want)))
 
 
+def test_walks_match_matrix_powers(spark):
+    rng = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in rng.integers(0, 9, (40, 2))]
+    p = np.zeros((9, 9))
+    for a, b in edges:
+        p[a, b] += 1
+    p /= np.maximum(p.sum(1, keepdims=True), 1)
+    got = graph.random_walk_returns(spark.createDataFrame(edges, "src long, dst long"), 5).collect()
+    for r in got:
+        assert list(r)[1:] == pytest.approx([np.linalg.matrix_power(p, k)[r.id, r.id] for k in range(1, 6)])
+    assert {r.id for r in got} == {a for a, _ in edges}
+
+
 def test_uniform_ranks_ties(spark):
     d = spark.createDataFrame([(float(v),) for v in (1, 2, 2, 3, 5, 5, 5, 9)], "v double")
     got = sorted(r.q for r in gnn.uniform_ranks(d, "v", "q").collect())
