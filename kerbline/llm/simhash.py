@@ -154,9 +154,12 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         if t >= 2:
             flips += [1 << a | 1 << b for a in part for b in part if a < b]
         index.append(F.struct(F.lit(i).alias("part"), key.alias("key")))
-        probe += [F.struct(F.lit(i).alias("part"), key.bitwiseXOR(F.lit(_signed(x))).alias("key")) for x in flips]
+        mask = _signed(sum(1 << b for b in part))
+        probe += [F.struct(F.lit(i).alias("part"), F.lit(mask).alias("mask"), F.lit(_signed(x)).alias("flip")) for x in flips]
     indexed = distinct.select(F.inline(F.array(*index)), F.col("fp").alias("v"))
-    probes = distinct.select(F.inline(F.array(*probe)), F.col("fp").alias("u"))
+    # The probes are one constant array; as many expressions would make generated code that takes long to compile.
+    probes = distinct.select(F.col("fp").alias("u"), F.inline(F.array(*probe)))
+    probes = probes.select("u", "part", F.col("u").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("key"))
     sizes = indexed.groupBy("part", "key").agg(F.count("*").alias("members")).where("members > 1")
     sized = materialize(probes.join(sizes, ["part", "key"]), "probes")
     pairs = (
@@ -167,10 +170,12 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     )
     crowded = sized.where(F.col("members") > BUCKET).select(F.col("u").alias("fp")).distinct()
     around = [0, *(1 << b for b in range(64))] if radius == 2 else [0]
-    meet = crowded.select("fp", F.explode(F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(x))) for x in around])).alias("z"))
+    meet = crowded.select("fp", F.explode(F.array(*[F.lit(_signed(x)) for x in around])).alias("x"))
+    meet = meet.select("fp", F.col("fp").bitwiseXOR(F.col("x")).alias("z"))
     if radius == 1:  # neighbours meet at one of the two values themselves
-        flips = F.array(*[F.col("fp").bitwiseXOR(F.lit(_signed(1 << b))) for b in range(64)])
-        near = crowded.select(F.col("fp").alias("u"), F.explode(flips).alias("v"))
+        flips = F.array(*[F.lit(_signed(1 << b)) for b in range(64)])
+        near = crowded.select(F.col("fp").alias("u"), F.explode(flips).alias("x"))
+        near = near.select("u", F.col("u").bitwiseXOR(F.col("x")).alias("v"))
         stars = near.join(crowded.select(F.col("fp").alias("v")), "v", "left_semi").where("u < v").select("u", "v")
     else:
         met = meet.groupBy("z").agg(F.collect_list("fp").alias("near")).where(F.size("near") > 1)
