@@ -147,8 +147,10 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     sample = np.array(
         [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64
     )
-    index, probe = [], []
+    index, probe, flipped = [], [], []
     for i, (part, t) in enumerate(plan_parts(sample, total, radius)):
+        if t >= 1:
+            flipped.append(i)
         key = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in part))))
         flips = [0, *([1 << b for b in part] if t >= 1 else [])]
         if t >= 2:
@@ -159,9 +161,11 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     indexed = distinct.select(F.inline(F.array(*index)), F.col("fp").alias("v"))
     # The probes are one constant array; as many expressions would make generated code that takes long to compile.
     probes = distinct.select(F.col("fp").alias("u"), F.inline(F.array(*probe)))
-    probes = probes.select("u", "part", F.col("u").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("key"))
-    sizes = indexed.groupBy("part", "key").agg(F.count("*").alias("members")).where("members > 1")
-    sized = materialize(probes.join(sizes, ["part", "key"]), "probes")
+    probes = probes.select("u", "part", F.col("u").bitwiseAND(F.col("mask")).bitwiseXOR(F.col("flip")).alias("key"), (F.col("flip") == 0).alias("own"))
+    # An unflipped probe meets itself, so it needs a second member; one alone in its bucket is found by flipped probes.
+    sizes = indexed.groupBy("part", "key").agg(F.count("*").alias("members")).where((F.col("members") > 1) | F.col("part").isin(flipped))
+    sized = probes.join(sizes, ["part", "key"]).where((F.col("members") > 1) | ~F.col("own")).drop("own")
+    sized = materialize(sized, "probes")
     pairs = (
         sized.where(F.col("members") <= BUCKET)
         .join(indexed, ["part", "key"])

@@ -114,6 +114,21 @@ def test_links_find_every_pair(spark, monkeypatch, radius, bucket):
     assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
 
 
+@pytest.mark.parametrize("thresholds", [(0, 1), (1, 0), (2, -1)])
+def test_flipped_probes_find_a_partner_alone_in_its_bucket(spark, monkeypatch, thresholds):
+    halves = [list(range(32)), list(range(32, 64))]
+    monkeypatch.setattr(simhash, "plan_parts", lambda *_: [(p, t) for p, t in zip(halves, thresholds) if t >= 0])
+    rng, values = random.Random(6), set()
+    for k in range(60):
+        v = rng.getrandbits(64)
+        bits = rng.sample(halves[0], 2) if thresholds[0] == 2 else [rng.choice(halves[0]), rng.choice(halves[1])]
+        values |= {v, v ^ sum(1 << b for b in bits[: 1 + k % 2])}
+    d = spark.createDataFrame([(v - 2**64 if v >> 63 else v,) for v in sorted(values)], "fp long")
+    got = {frozenset((r.u & (2**64 - 1), r.v & (2**64 - 1))) for r in simhash.links(d, 2).collect()}
+    want = {frozenset((u, v)) for u in values for v in values if u < v and bin(u ^ v).count("1") <= 2}
+    assert got == want and len(want) == 60
+
+
 def slow_similar(texts):
     """Components of wide fingerprints that share a part and are within the limit."""
     fps = [int.from_bytes(simhash.wide_fingerprint(t), "little") for t in texts]
