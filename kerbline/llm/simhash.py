@@ -7,11 +7,11 @@ probes and candidates, estimated on a bounded sample by dynamic programming; the
 A part's value that more than ``BUCKET`` fingerprints share is not expanded into pairs: its members and probes meet at
 the values one bit away from them (at most 65 fingerprints are that near to one value), which finds the same links.
 
-64 bits of three-word shingles see copies that differ in a word or two. :func:`similar` is the same method for copies with a
-word in fifty replaced (a Jaccard similarity of 0.8 over five-word shingles): 512 bits of distinct words in 21 parts of 24
-bits, with threshold 0 for each, and verification by distance. By the pigeonhole principle any two fingerprints within 20
-bits share a part; of those within ``LIMIT`` bits nearly all do. Beyond 2 ** 18 texts parts get wider, a bit for each
-doubling, so that what meets by chance stays in proportion.
+64 bits of three-word shingles see copies that differ in a word or two. :func:`similar` is for copies with a word in fifty
+replaced (a Jaccard similarity of 0.8 over five-word shingles): 512 bits of distinct words in ``LIMIT + 1`` parts of 10 bits,
+equality on one of them, and verification by distance. Any two fingerprints within ``LIMIT`` bits share a part by the
+pigeonhole principle, so all such pairs meet, at any number of texts. Probes of flipped bits are not used: at these widths
+each would be one more row of 64 bytes for every text and flip, which costs more than the comparisons that it saves.
 """
 
 from __future__ import annotations
@@ -34,10 +34,12 @@ SAMPLE = 20_000
 BUCKET = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
-#: Wide fingerprints: words of 64 bits, least bits of a part, and the distance that still links.
-WIDE, WIDTH, LIMIT = 8, 24, 50
+#: Wide fingerprints: words of 64 bits, bits of a part, and the distance that still links, less than the number of parts.
+WIDE, WIDTH, LIMIT = 8, 10, 50
+#: Pairs of wide fingerprints that are compared at once.
+PAIRS = 1 << 18
 #: Wide fingerprints with one part in common that are compared in one place; more are compared block by block.
-CROWD = 4096
+CROWD = 1 << 16
 
 
 def fingerprint(text: str | None, size: int = 3) -> int:
@@ -235,23 +237,31 @@ def near_pairs(group: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarr
         return i
 
     u, v = [], []
-    for lag in range(1, len(group)):
-        at = np.flatnonzero(group[lag:] == group[:-lag])
-        if not len(at):
-            break
-        d = np.bitwise_count(fps[at] ^ fps[at + lag]).sum(axis=1)
-        for i in at[d <= limit].tolist():
-            a, b = find(i), find(i + lag)
-            if a != b:
-                own[max(a, b)] = min(a, b)
-                u.append(i)
-                v.append(i + lag)
+    cuts = np.flatnonzero(np.diff(group)) + 1
+    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)]):
+        words = np.ascontiguousarray(fps[start:stop].T)
+        n, at = stop - start, 0
+        while at < n - 1:
+            end = min(n - 1, at + max(1, PAIRS // (n - at)))
+            # Two words tell most pairs apart; the others are compared whole.
+            d = np.bitwise_count(words[0, at:end, None] ^ words[0, at:])
+            d += np.bitwise_count(words[1, at:end, None] ^ words[1, at:])
+            i, j = np.nonzero(d <= limit)
+            i, j = i[j > i] + at, j[j > i] + at
+            near = np.bitwise_count(words[:, i] ^ words[:, j]).sum(axis=0, dtype=np.int64) <= limit
+            for p, q in zip((i[near] + start).tolist(), (j[near] + start).tolist()):
+                a, b = find(p), find(q)
+                if a != b:
+                    own[max(a, b)] = min(a, b)
+                    u.append(p)
+                    v.append(q)
+            at = end
     return np.array(u, np.int64), np.array(v, np.int64)
 
 
 def part_width(total: int) -> int:
-    """Bits of a part for so many fingerprints."""
-    return min(48, max(WIDTH, (total - 1).bit_length() + 6))
+    """Bits of a part, the same for any number of fingerprints: more would leave too few parts for ``LIMIT``."""
+    return WIDTH
 
 
 def _wide_links(nodes: DataFrame) -> DataFrame:

@@ -172,6 +172,20 @@ def test_similar(spark, empty, monkeypatch, crowd):
     assert simhash.similar(empty).count() == 0 and simhash.keep_one(empty, classes_of=simhash.similar).count() == 0
 
 
+def test_wide_links_find_all_pairs_within_the_limit(spark):
+    """Pairs that differ by the limit in bits spread evenly, and one bit more."""
+    rng, rows = np.random.default_rng(8), []
+    for k in range(80):
+        x = rng.integers(0, 2, 512)
+        y = x.copy()
+        y[(np.arange(simhash.LIMIT + k % 2) * 10 + k) % 512] ^= 1
+        rows += [(2 * k + i, np.packbits(b.astype(np.uint8), bitorder="little").tobytes()) for i, b in enumerate((x, y))]
+    d = spark.createDataFrame(rows, "fp long, wide binary")
+    got = {frozenset((r.u, r.v)) for r in simhash._wide_links(d).collect()}
+    assert got == {frozenset((2 * k, 2 * k + 1)) for k in range(0, 80, 2)}
+    assert all(512 // simhash.part_width(n) > simhash.LIMIT for n in (2, 10**5, 10**7, 10**10))
+
+
 def test_thresholds_add_up():
     sample = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 500)
     for total in (10, 10**4, 10**9):
