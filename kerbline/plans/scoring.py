@@ -51,7 +51,7 @@ def predict(t: Tables) -> DataFrame:
 @query("grf12_agg24_uncertainty")
 def uncertain(t: Tables) -> DataFrame:
     x, edges = _inputs(t)
-    scores = gnn.predict(x, edges, gnn.random_weights(6, HIDDEN, LAYERS), LAYERS, runs=5)
+    scores = gnn.predict(x, edges, gnn.random_weights(6, HIDDEN, LAYERS), LAYERS, runs=30)
     return gnn.uncertainty(scores).select("id", R6(F.col("score"), "score"), R6(F.col("std"), "pred_uncertainty"))
 
 
@@ -67,7 +67,7 @@ def lines_of(t: Tables) -> DataFrame:
 
 @query("feature_table")
 def feature_table(t: Tables) -> DataFrame:
-    """All 204 features of the surrogate segments; sources of the centralities are sampled."""
+    """All 204 features of the surrogate segments; at most 3000 and 400 sources of the centralities."""
     from kerbline.functions import geometry as g
     from kerbline.plans import features
     from kerbline.plans.buffers import boundary
@@ -82,7 +82,7 @@ def feature_table(t: Tables) -> DataFrame:
     points = t.pois.select(F.col("event_id").alias("pid"), "px", "py", word(features.PLACES_1).alias("cat_l1"), word(features.PLACES_2).alias("cat_l2"))
     full = t.cover.select("row", "col").join(t.ndvi, ["row", "col"], "left")
     groups = [
-        features.network(lines, 32, 32, straight=True),
+        features.network(lines, straight=True),
         features.terrain(lines, t.cover.select("row", "col").join(t.dem, ["row", "col"], "left"), AFFINE, SIDE, SIDE),
         features.urban(lines, t.cells.select("row", "col", "value"), AFFINE, SIDE, SIDE, boundary()),
         features.buildings(lines, polygons, straight=True),

@@ -1,6 +1,7 @@
 """Each registered query against its SQL on the smallest folder, and the driver's contract."""
 
 import importlib
+import inspect
 import sys
 
 import duckdb
@@ -44,6 +45,31 @@ def test_query(spark, duck, name):
     assert np.all([c == c.strip() for c in got.columns])
 
 
+@pytest.mark.parametrize(
+    "name, module, operator, want",
+    [
+        ("grf1_betweenness", "kerbline.operators.graph", "betweenness", {"most": 3000}),
+        ("grf4_closeness", "kerbline.operators.graph", "closeness", {"most": 400}),
+        ("feature_table", "kerbline.plans.features", "network", {"sources": 3000, "targets": 400}),
+        ("grf12_agg24_uncertainty", "kerbline.operators.gnn", "predict", {"runs": 30}),
+    ],
+)
+def test_sources_and_runs_of_the_reference(spark, monkeypatch, name, module, operator, want):
+    home = importlib.import_module(module)
+    signature, seen = inspect.signature(getattr(home, operator)), {}
+
+    def record(*args, **kwargs):
+        bound = signature.bind(*args, **kwargs)
+        bound.apply_defaults()
+        seen.update(bound.arguments)
+        raise InterruptedError
+
+    monkeypatch.setattr(home, operator, record)
+    with pytest.raises(InterruptedError):
+        registry.QUERIES[name](spark, DATA)
+    assert {k: seen[k] for k in want} == want
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
