@@ -1,7 +1,7 @@
 """Secret scans: base patterns, and a character convolutional network over every other candidate.
 
-A candidate is a run of at least ``SHORTEST`` characters that secrets are made of, with a digit, outside the base spans.
-The network reads the candidate's first characters between those around it. It is trained here, in numpy, on at most
+A candidate is a run of at least ``SHORTEST`` characters that secrets are made of, or the part of one outside the base spans.
+The network reads all of it, in overlapping windows between the characters around them; the best score counts. It is trained here, in numpy, on at most
 ``SAMPLE`` labelled findings: base findings of the corpus are positive, candidates outside them negative, and each
 negative context also lends itself to a generated secret (positive) so that alphabets which the base patterns do not know
 are learned. A quarter is held out; scores are calibrated on it (Platt's scaling), and the threshold has the best precision
@@ -35,7 +35,6 @@ SHORTEST, SAMPLE, RECALL = 12, 4000, 0.95
 #: Generated secrets that it learns from at least.
 FEWEST = 600
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
-_DIGIT = re.compile(r"[0-9]")
 #: What the network reads: characters before, of and after the candidate.
 BEFORE, WITHIN, AFTER = 16, 32, 8
 WIDTH = BEFORE + WITHIN + AFTER
@@ -57,14 +56,21 @@ def window(text: str, start: int, end: int) -> str:
 
 
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
-    """``(start, end, window)`` of the candidates that touch no base span."""
+    """``(start, end, window)`` of the candidates outside base spans; a long one has windows from its start to its end."""
     out, k = [], 0
     for m in _CANDIDATE.finditer(text):
         while k < len(base) and base[k][1] <= m.start():
             k += 1
-        inside = any(a < m.end() and m.start() < b for a, b, _ in base[k : k + 8])
-        if not inside and _DIGIT.search(m[0]):
-            out.append((m.start(), m.end(), window(text, m.start(), m.end())))
+        at, parts = m.start(), []
+        for a, b, _ in base[k:]:
+            if a >= m.end():
+                break
+            parts.append((at, a))
+            at = max(at, b)
+        for start, end in [*parts, (at, m.end())]:
+            if end - start >= SHORTEST:
+                last = max(start, end - WITHIN)
+                out += [(start, end, window(text, i, min(end, i + WITHIN))) for i in [*range(start, last, WITHIN // 2), last]]
     return out
 
 
@@ -236,7 +242,7 @@ def find_secrets(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
             rows = []
             for known, others in zip(base, more):
                 known = [(f["a"], f["b"], f["kind"]) for f in known]
-                added = [(f["a"], f["b"], "model") for f in others if next(sure)]
+                added = list(dict.fromkeys((f["a"], f["b"], "model") for f in others if next(sure)))
                 counts = [sum(k == kind for _, _, k in known) for kind in BASE]
                 rows.append((*counts, show(known), show(known + added)))
             columns = list(zip(*rows)) or [()] * 5

@@ -415,6 +415,20 @@ def test_network_on_held_out_findings():
 # --- substring dedup
 
 
+def test_candidates_are_read_whole():
+    """A key at the end of a path, a run without digits, and a run with a hexadecimal part."""
+    path, key = "/api/v/projects/production-main/settings/", "ghp_" + "aZbYcXdWeVfUgThSiRjQkPlOmNnM"
+    other = "QwErTyUiOpAsZxCvBn" + "-" + "0123456789abcdef0" + "-" + "ZyXwVuTsRqPoNmLk"
+    text = f"see {path}{key} and {key} or {other} end"
+    found = secrets.candidates(text, secrets.base_spans(text))
+    runs = {text[a:b] for a, b, _ in found}
+    assert runs == {path + key, key, "QwErTyUiOpAsZxCvBn-", "-ZyXwVuTsRqPoNmLk"}
+    for a, b, _ in found:
+        read = [w[secrets.BEFORE : secrets.BEFORE + secrets.WITHIN].rstrip("\0") for x, y, w in found if (x, y) == (a, b)]
+        assert all(any(text[i] in r for r in read) for i in range(a, b)) and text[a:b].startswith(read[0]) and text[a:b].endswith(read[-1])
+    assert any(key in w for _, b, w in found if b == text.index(path) + len(path + key))
+
+
 def slow_windows(rows, size=20):
     seen, out = {}, {}
     for known, doc, key, text in sorted({(r[0] is not None, r[0] or 0, k, r[1] or "") for r, k in rows}):
