@@ -31,6 +31,12 @@ def parse(t: Tables) -> DataFrame:
     return d.dropna(subset=["k"]).where(~F.isnan("k") & (F.abs("k") < float("inf")) & (F.col("event_id") % 3 != 0))
 
 
+@query("prj6_8_parse_all_events", "SELECT event_id, TRY_CAST(cat_l2 AS DOUBLE) AS k FROM pois WHERE TRY_CAST(cat_l2 AS DOUBLE) IS NOT NULL")
+def parse_all(t: Tables) -> DataFrame:
+    d = t.pois.select("event_id", s.to_number(F.col("cat_l2")).alias("k"))
+    return d.dropna(subset=["k"]).where(~F.isnan("k") & (F.abs("k") < float("inf")))
+
+
 @query(
     "prj9_10_membership",
     "SELECT id, CAST(CASE WHEN highway IN ('1-URGENT', '2-HIGH') THEN 0 ELSE 1 END AS TINYINT) AS minor FROM segments WHERE highway <> '5-LOW'",

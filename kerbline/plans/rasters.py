@@ -82,6 +82,14 @@ def percentiles(t: Tables) -> DataFrame:
     return out.select("row", "col", *[F.get("p", i).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
 
 
+@query("win5_box_percentiles_all_cells")
+def all_percentiles(t: Tables) -> DataFrame:
+    """Around every cell; tests compare with brute force."""
+    band = t.dem.withColumn("value", F.round("value", 6))
+    out = raster.box_percentiles(band, t.dem, 50, SIDE, SIDE, [0.1, 0.5, 0.9])
+    return out.select("row", "col", *[F.get("p", i).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
+
+
 _GRAD = """CASE WHEN {b} IS NOT NULL AND {a} IS NOT NULL THEN ({a} - {b}) / 160.0 ELSE coalesce(({a} - dem) / 80.0, (dem - {b}) / 80.0, 0.0) END"""
 
 

@@ -3,6 +3,7 @@
 import importlib
 import inspect
 import sys
+from types import SimpleNamespace
 
 import duckdb
 import numpy as np
@@ -11,7 +12,8 @@ import pytest
 
 import __spark_entry__ as contract
 from conftest import DATA
-from kerbline.plans import registry
+from kerbline.plans import graphs, rasters, registry
+from kerbline.plans.tables import SIDE, Tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -70,6 +72,21 @@ def test_sources_and_runs_of_the_reference(spark, monkeypatch, name, module, ope
     assert {k: seen[k] for k in want} == want
 
 
+def test_all_edges_and_all_cells(spark):
+    """Edges that the filtered queries leave out, in several components; percentiles of every cell by brute force."""
+    few = SimpleNamespace(edges=spark.createDataFrame([(2, 4, 1.0), (4, 7, 1.0), (7, 14, 1.0), (20, 22, 1.0), (30, 31, 1.0)], "u long, v long, w double"))
+    assert {r.node: r.root for r in graphs.all_components(few).collect()} == {2: 2, 4: 2, 7: 2, 14: 2, 20: 20, 22: 20, 30: 30, 31: 30}
+    assert {r.node for r in graphs.largest_of_all(few).collect()} == {2, 4, 7, 14}
+    t = Tables(spark, DATA)
+    dem = {(r.row, r.col): r.value for r in t.dem.collect()}
+    got, clip = rasters.all_percentiles(t).collect(), range(-2, 3)
+    assert len(got) == len(dem) and {(r.row, r.col) for r in got} == set(dem)
+    for r in got:
+        at = [(min(max(r.row + i, 0), SIDE - 1), min(max(r.col + j, 0), SIDE - 1)) for i in clip for j in clip]
+        v = sorted(dem[c] for c in at if c in dem)
+        assert max(abs(x - v[-(-len(v) * q // 10) - 1]) for x, q in zip((r.p10, r.p50, r.p90), (1, 5, 9))) < 2e-6
+
+
 def test_entry(spark):
     assert contract.entry(spark).count() > 0
     assert set(contract.oracle_sql()) <= set(contract.queries())
