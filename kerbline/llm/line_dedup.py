@@ -1,10 +1,10 @@
-"""Deletion of repeated lines by winnowing over line hashes. DataFrame functions only.
+"""Deletion of repeated lines by hashes of windows of lines. DataFrame functions only.
 
 A document is the sequence of its lines that hold a word. A line goes if it lies in a run of ``window`` consecutive
 lines that also starts earlier (smaller id, then text key, then position), or if it alone has ``solo_chars``
-characters or more and also stands earlier. Of every window the least line hash is selected, so equal windows select the same line;
-selected lines (and long single lines) are posted, positions are joined on equal fingerprints, and each shared posting
-is extended both ways to the windows whose minimum it is. Only what the earlier occurrence confirms is deleted.
+characters or more and also stands earlier. Every window (and long
+single line) is posted with a 128-bit hash of its content; window minima only drop, before the grouping, windows that
+cannot have an equal. Nothing is extended: equal windows meet by their hash. Only what the earlier occurrence confirms is deleted.
 """
 
 from __future__ import annotations
