@@ -8,14 +8,15 @@ A part's value that more than ``BUCKET`` fingerprints share is not expanded into
 the values one bit away from them (at most 65 fingerprints are that near to one value), which finds the same links.
 
 64 bits of three-word shingles see copies that differ in a word or two. :func:`similar` is for copies with a word in fifty
-replaced (a Jaccard similarity of 0.8 over five-word shingles): 512 bits of distinct words in ``LIMIT + 1`` parts of 10 bits,
-equality on one of them, and verification by distance. Any two fingerprints within ``LIMIT`` bits share a part by the
-pigeonhole principle, so all such pairs meet, at any number of texts. Probes of flipped bits are not used: at these widths
-each would be one more row of 64 bytes for every text and flip, which costs more than the comparisons that it saves.
+replaced (a Jaccard similarity of 0.8 over five-word shingles): 128 bits of distinct words, linked within ``LIMIT``, by the same
+method. A fingerprint goes to the slot of its own key on each part and to those one flipped bit away where the part's
+threshold says so; a slot compares its probes with its own rows, by the whole fingerprint. All pairs within ``LIMIT`` meet,
+whatever the parts planned. Large groups of copies are connected through pivots, not through their pairs.
 """
 
 from __future__ import annotations
 
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -34,11 +35,13 @@ SAMPLE = 20_000
 BUCKET = 64
 #: Shingles whose bits are counted at once.
 BLOCK = 1 << 16
-#: Wide fingerprints: words of 64 bits, bits of a part, and the distance that still links, less than the number of parts.
-WIDE, WIDTH, LIMIT = 8, 10, 50
-#: Pairs of wide fingerprints that are compared at once.
-PAIRS = 1 << 18
-#: Wide fingerprints with one part in common that are compared in one place; more are compared block by block.
+#: Wide fingerprints: words of 64 bits, and the distance that still links.
+WIDE, LIMIT = 2, 15
+#: Estimated cost of a probe, a row that is shuffled, in comparisons.
+PROBE = 100.0
+#: Pairs of wide fingerprints that are compared at once, and those of a slot that is compared together with others.
+PAIRS, BATCHED = 1 << 20, 1 << 12
+#: Rows of a slot in one place; the places of a slot are connected in a second pass.
 CROWD = 1 << 16
 
 
@@ -75,7 +78,7 @@ def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text"
     return source.mapInArrow(run, "doc_id long, text_key long, fp long")
 
 
-def _bits(values: np.ndarray) -> np.ndarray:
+def bits_of(values: np.ndarray) -> np.ndarray:
     return np.unpackbits(values.astype("<i8").view(np.uint8).reshape(-1, 8), axis=1, bitorder="little")
 
 
@@ -85,7 +88,7 @@ def _group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     scale = np.sqrt((centred**2).sum(axis=0))
     corr = np.abs(centred.T @ centred) / np.maximum(np.outer(scale, scale), 1e-9)
     np.fill_diagonal(corr, 0)
-    left, parts = list(range(64)), []
+    left, parts = list(range(bits.shape[1])), []
     for i in range(m):
         width = len(left) // (m - i)
         part = [max(left, key=lambda b: corr[b, left].sum())]
@@ -97,8 +100,8 @@ def _group_bits(bits: np.ndarray, m: int) -> list[list[int]]:
     return parts
 
 
-def _costs(bits: np.ndarray, part: list[int], total: int, radius: int) -> list[float]:
-    """Probes and expected candidates of one fingerprint on a part, for t = -1 .. radius."""
+def _costs(bits: np.ndarray, part: list[int], total: int, radius: int, probe: float) -> list[float]:
+    """Probes (at ``probe`` each) and expected candidates of one fingerprint on a part, for t = -1 .. radius."""
     w, n = len(part), max(2, len(bits))
     keys = bits[:, part].astype(np.uint64) @ (np.uint64(1) << np.arange(w, dtype=np.uint64)) if len(bits) else np.zeros(0, np.uint64)
     values, freq = np.unique(keys, return_counts=True)
@@ -113,20 +116,21 @@ def _costs(bits: np.ndarray, part: list[int], total: int, radius: int) -> list[f
             probes, reach = probes + w, share + near
         elif t > 1:
             probes, reach = probes * w / t, reach * w / t
-        costs.append(probes + reach * total)
+        costs.append(probe * probes + reach * total)
     return costs
 
 
-def plan_parts(sample: np.ndarray, total: int, radius: int) -> list[tuple[list[int], int]]:
-    """``(bits, threshold)`` of the parts to probe, of least estimated cost."""
-    bits, best = _bits(sample).astype(float), (float("inf"), [])
-    for m in range(2, radius + 3):
-        parts = _group_bits(bits, m) if len(bits) > 1 else [[b for b in range(64) if b % m == i] for i in range(m)]
+def plan_parts(bits: np.ndarray, total: int, radius: int, probe: float = 1.0) -> list[tuple[list[int], int]]:
+    """``(bits, threshold)`` of the parts to probe, of least estimated cost; ``bits`` are the rows of a sample."""
+    width, best = bits.shape[1], (float("inf"), [])
+    most = 1 if width > 64 else radius  # flips of one bit, or of up to the radius on parts of at most 8 bits
+    for m in range(max(2, -(-(radius + 1) // (most + 1))), radius + 3):
+        parts = _group_bits(bits.astype(float), m) if len(bits) > 1 else [[b for b in range(width) if b % m == i] for i in range(m)]
         table = {0: (0.0, [])}  # units of (t + 1) given out so far -> cost, thresholds
         for part in parts:
-            costs, after = _costs(bits.astype(np.uint8), part, total, radius), {}
+            costs, after = _costs(bits, part, total, radius, probe), {}
             for given, (cost, taken) in table.items():
-                for t in range(-1, min(radius, 1 if len(part) > 8 else radius) + 1):
+                for t in range(-1, min(most, 1 if len(part) > 8 else radius) + 1):
                     key, now = given + t + 1, cost + costs[t + 1]
                     if key <= radius + 1 and now < after.get(key, (float("inf"),))[0]:
                         after[key] = (now, [*taken, t])
@@ -150,7 +154,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
         [r[0] for r in distinct.select("fp").orderBy(F.xxhash64("fp"), "fp").limit(SAMPLE).collect()], np.int64
     )
     index, probe, flipped = [], [], []
-    for i, (part, t) in enumerate(plan_parts(sample, total, radius)):
+    for i, (part, t) in enumerate(plan_parts(bits_of(sample), total, radius)):
         if t >= 1:
             flipped.append(i)
         key = F.col("fp").bitwiseAND(F.lit(_signed(sum(1 << b for b in part))))
@@ -226,9 +230,38 @@ def wide_fingerprint(text: str | None) -> bytes:
     return np.packbits(2 * ones > n, bitorder="little").tobytes()
 
 
-def near_pairs(group: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
-    """Row pairs ``(i, j)`` of equal group, rows sorted by it, whose fingerprints differ in at most ``limit`` bits: one spanning forest."""
-    own = np.arange(len(group))
+def slots_of(bits: np.ndarray, plan: list[tuple[list[int], int]]) -> tuple[np.ndarray, np.ndarray]:
+    """``(slots, flipped)``: a row of slots for each fingerprint, its own key of each part and those within the part's threshold.
+
+    A slot is the part's number and a key, so equal slots are equal keys. ``flipped`` tells which columns are probes.
+    """
+    columns, flipped = [], []
+    for i, (part, t) in enumerate(plan):
+        place = np.int64(1) << np.arange(len(part), dtype=np.int64)
+        key = bits[:, part].astype(np.int64) @ place | np.int64(i) << 48
+        for k in range(t + 1):
+            for some in itertools.combinations(place.tolist(), k):
+                columns.append(key ^ np.int64(sum(some)))
+                flipped.append(k > 0)
+    return np.stack(columns, axis=1), np.array(flipped)
+
+
+def forest(f: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs that connect all rows ``f (n, words)`` that are linked within ``limit`` bits, without comparing all pairs.
+
+    A pivot takes all rows left within the limit of it. Two pivots' rows are compared only if the pivots are not connected
+    yet and within three limits of each other (the triangle inequality rules out the others), and until a link is found.
+    """
+    left, u, v, pivots, balls = np.arange(len(f)), [], [], [], []
+    while len(left):
+        near = np.bitwise_count(f[left] ^ f[left[0]]).sum(axis=1, dtype=np.int64) <= limit
+        ball = left[near]
+        u.append(np.full(len(ball) - 1, ball[0]))
+        v.append(ball[1:])
+        pivots.append(ball[0])
+        balls.append(ball)
+        left = left[~near]
+    own = np.arange(len(pivots))
 
     def find(i: int) -> int:
         while own[i] != i:
@@ -236,82 +269,172 @@ def near_pairs(group: np.ndarray, fps: np.ndarray, limit: int) -> tuple[np.ndarr
             i = own[i]
         return i
 
-    u, v = [], []
-    cuts = np.flatnonzero(np.diff(group)) + 1
-    for start, stop in zip([0, *cuts.tolist()], [*cuts.tolist(), len(group)]):
-        words = np.ascontiguousarray(fps[start:stop].T)
-        n, at = stop - start, 0
-        while at < n - 1:
-            end = min(n - 1, at + max(1, PAIRS // (n - at)))
-            # Two words tell most pairs apart; the others are compared whole.
-            d = np.bitwise_count(words[0, at:end, None] ^ words[0, at:])
-            d += np.bitwise_count(words[1, at:end, None] ^ words[1, at:])
-            i, j = np.nonzero(d <= limit)
-            i, j = i[j > i] + at, j[j > i] + at
-            near = np.bitwise_count(words[:, i] ^ words[:, j]).sum(axis=0, dtype=np.int64) <= limit
-            for p, q in zip((i[near] + start).tolist(), (j[near] + start).tolist()):
-                a, b = find(p), find(q)
-                if a != b:
-                    own[max(a, b)] = min(a, b)
-                    u.append(p)
-                    v.append(q)
-            at = end
-    return np.array(u, np.int64), np.array(v, np.int64)
-
-
-def part_width(total: int) -> int:
-    """Bits of a part, the same for any number of fingerprints: more would leave too few parts for ``LIMIT``."""
-    return WIDTH
-
-
-def _wide_links(nodes: DataFrame) -> DataFrame:
-    """Edges ``(u, v)`` between ``nodes(fp, wide)`` that share a part and are near; rows that share one meet in blocks."""
-    width = part_width(nodes.count())
-    parts = 64 * WIDE // width
-
-    def posts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        place, part = np.int64(1) << np.arange(width, dtype=np.int64), np.arange(parts, dtype=np.int64) << 48
-        for b in batches:
-            if len(b):
-                x = np.frombuffer(b"".join(b.column(1).to_pylist()), np.uint8).reshape(len(b), 8 * WIDE)
-                bits = np.unpackbits(x, axis=1, bitorder="little")[:, : parts * width].reshape(len(b), parts, width)
-                keys = bits @ place | part
-                fp = np.repeat(b.column(0).to_numpy(), parts)
-                yield pa.RecordBatch.from_arrays([pa.array(keys.ravel()), pa.array(fp)], ["slot", "fp"])
-
-    posted = materialize(nodes.select("fp", "wide").mapInArrow(posts, "slot long, fp long"), "slots")
-    shared = materialize(posted.groupBy("slot").agg(F.count("*").alias("n")).where("n > 1"), "shared")
-    met = posted.join(shared, "slot").withColumn("blocks", F.ceil(F.col("n") / CROWD))
-    own = F.pmod(F.xxhash64("fp"), F.col("blocks"))
-    met = met.select("slot", "fp", own.alias("own"), F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)).alias("other"))
-    met = met.select(F.xxhash64("slot", F.least("own", "other"), F.greatest("own", "other")).alias("place"), "fp").join(nodes, "fp")
-    met = met.repartition("place").sortWithinPartitions("place")
+    for i in range(len(pivots) - 1):
+        d = np.bitwise_count(f[pivots[i + 1 :]] ^ f[pivots[i]]).sum(axis=1, dtype=np.int64)
+        for j in (np.flatnonzero(d <= 3 * limit) + i + 1).tolist():
+            a, b = find(i), find(j)
+            met = a != b and _first_link(f, balls[i], balls[j], limit)
+            if met:
+                own[max(a, b)] = min(a, b)
+                u.append(np.array([met[0]]))
+                v.append(np.array([met[1]]))
+    return np.concatenate(u), np.concatenate(v)
 
-    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        rest: list[pa.RecordBatch] = []
 
-        def report(parts: list[pa.RecordBatch]) -> pa.RecordBatch:
-            t = pa.Table.from_batches(parts)
-            ids = t.column("fp").to_numpy()
-            x = np.frombuffer(b"".join(t.column("wide").to_pylist()), "<u8").reshape(len(ids), WIDE)
-            i, j = near_pairs(t.column("place").to_numpy(), x, LIMIT)
-            return pa.RecordBatch.from_arrays([pa.array(ids[i]), pa.array(ids[j])], ["u", "v"])
+def _first_link(f: np.ndarray, x: np.ndarray, y: np.ndarray, limit: int) -> tuple[int, int] | None:
+    step = max(1, PAIRS // len(y))
+    for at in range(0, len(x), step):
+        some = x[at : at + step]
+        i, j = np.nonzero(np.bitwise_count(f[some][:, None] ^ f[y][None]).sum(axis=2, dtype=np.int64) <= limit)
+        if len(i):
+            return int(some[i[0]]), int(y[j[0]])
+    return None
+
 
+def slot_links(slot: np.ndarray, probe: np.ndarray, f: np.ndarray, limit: int) -> tuple[np.ndarray, np.ndarray]:
+    """Row pairs ``(i, j)`` that link, within ``limit``, the rows of a slot; rows are sorted by slot, its own rows before its probes.
+
+    A probe is compared with the rows that have the slot as their own key; two probes meet elsewhere.
+    """
+    starts = np.flatnonzero(np.r_[True, slot[1:] != slot[:-1]])
+    sizes = np.diff(np.r_[starts, len(slot)])
+    owned = np.add.reduceat((~probe).astype(np.int64), starts)
+    u, v, work = [], [], owned * sizes
+    small = np.flatnonzero((work > 1) & (work <= BATCHED))
+    for some in np.split(small, np.flatnonzero(np.diff(np.cumsum(work[small]) // PAIRS)) + 1) if len(small) else []:
+        w = work[some]
+        k = np.arange(w.sum()) - np.repeat(np.cumsum(w) - w, w)
+        i = np.repeat(starts[some], w) + k // np.repeat(sizes[some], w)
+        j = np.repeat(starts[some], w) + k % np.repeat(sizes[some], w)
+        near = (np.bitwise_count(f[i] ^ f[j]).sum(axis=1, dtype=np.int64) <= limit) & (i != j)
+        u.append(i[near])
+        v.append(j[near])
+    for g in np.flatnonzero(work > BATCHED).tolist():
+        s, e, m = int(starts[g]), int(starts[g] + sizes[g]), int(owned[g])
+        hits, step, many = [], max(1, PAIRS // (e - s)), 0
+        for at in range(s, s + m, step):
+            stop = min(s + m, at + step)
+            i, j = np.nonzero(np.bitwise_count(f[at:stop][:, None] ^ f[s:e][None]).sum(axis=2, dtype=np.int64) <= limit)
+            hits.append((i + at, j + s))
+            many += len(i)
+            if many > 4 * (e - s):  # most rows are one group: connect it without its pairs
+                a, b = forest(f[s:e], limit)
+                hits = [(a + s, b + s)]
+                break
+        u += [i[i != j] for i, j in hits]
+        v += [j[i != j] for i, j in hits]
+    none = np.zeros(0, np.int64)
+    return np.concatenate([none, *u]), np.concatenate([none, *v])
+
+
+def _unpacked(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Fingerprints as words and as bits."""
+    f = np.stack([a, b], axis=1).view(np.uint64)
+    return f, np.unpackbits(np.ascontiguousarray(f).view(np.uint8), axis=1, bitorder="little")
+
+
+def _by_place(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table]:
+    """Batches cut where the first ``keys`` columns change, so that no place is split."""
+    rest: list[pa.RecordBatch] = []
+    for b in batches:
+        if not len(b):
+            continue
+        at = [b.column(k).to_numpy(zero_copy_only=False) for k in range(keys)]
+        same = np.logical_and.reduce([x == x[-1] for x in at])
+        cut = 0 if same.all() else int(np.flatnonzero(~same)[-1]) + 1  # the last place may go on in the next batch
+        if rest and (cut or any(rest[-1].column(k)[-1].as_py() != at[k][0] for k in range(keys))):
+            yield pa.Table.from_batches([*rest, b.slice(0, cut)])
+            rest = []
+        elif cut:
+            yield pa.Table.from_batches([b.slice(0, cut)])
+        rest.append(b.slice(cut))
+    if rest:
+        yield pa.Table.from_batches(rest)
+
+
+def _edges(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    ends = [pa.array(np.ascontiguousarray(f[k][:, w]).view(np.int64)) for k in (i, j) for w in (0, 1)]
+    return pa.RecordBatch.from_arrays(ends, ["ua", "ub", "va", "vb"])
+
+
+_EDGE = "ua long, ub long, va long, vb long"
+
+
+def _hashed(edges: DataFrame) -> DataFrame:
+    return edges.select(F.xxhash64("ua", "ub").alias("u"), F.xxhash64("va", "vb").alias("v")).select(F.least("u", "v").alias("u"), F.greatest("u", "v").alias("v")).distinct()
+
+
+def wide_links(nodes: DataFrame, limit: int | None = None, crowd: int | None = None, total: int | None = None) -> DataFrame:
+    """Edges ``(u, v)`` over ``nodes(fp, a, b)`` whose components are those of all pairs within ``limit`` bits (``LIMIT``).
+
+    ``total`` is the number of fingerprints that the parts are planned for, by default theirs; it changes cost only. Slots
+    that a sample shows to hold more than ``crowd`` rows (or a thousandth of all) are dealt over places by hash; rows in
+    different places of a slot that the first pass left in different components meet in a second.
+    """
+    spark, many = nodes.sparkSession, nodes.count()
+    limit, crowd = limit or LIMIT, crowd or CROWD
+    sample = nodes.select("a", "b").orderBy(F.xxhash64("a", "b"), "a").limit(SAMPLE).toArrow()
+    _, bits = _unpacked(sample.column(0).to_numpy(), sample.column(1).to_numpy())
+    plan = plan_parts(bits, total or many, limit, PROBE)
+    slots, counts = np.unique(slots_of(bits, plan)[0], return_counts=True)
+    places = np.ceil(counts * (many / max(1, len(bits))) / max(crowd, many // 1000)).astype(np.int64)
+    hot = spark.sparkContext.broadcast((slots[places > 1], places[places > 1], plan))  # at most a thousand slots of each column
+
+    def post(batches: Iterator[pa.RecordBatch], only_hot: bool) -> Iterator[pa.RecordBatch]:
+        crowded, dealt, parts = hot.value
         for b in batches:
-            place = b.column(0).to_numpy()
-            if not len(place):
-                continue
-            cut = int(np.searchsorted(place, place[-1]))  # the last group may go on in the next batch
-            if rest and (cut or rest[-1].column(0)[-1].as_py() != place[0]):
-                yield report([*rest, b.slice(0, cut)])
-                rest = []
-            elif cut:
-                yield report([b.slice(0, cut)])
-            rest.append(b.slice(cut))
-        if rest:
-            yield report(rest)
-
-    return met.select("place", "fp", "wide").mapInArrow(compare, "u long, v long").distinct()
+            for at in range(0, len(b), 2048):
+                some = b.slice(at, 2048)
+                f, bits = _unpacked(some.column(0).to_numpy(), some.column(1).to_numpy())
+                found, flipped = slots_of(bits, parts)
+                row, n = np.repeat(np.arange(len(f)), found.shape[1]), np.ones(found.size, np.int64)
+                slot, probe = found.ravel(), np.tile(flipped, len(f))
+                if len(crowded):
+                    near = np.minimum(np.searchsorted(crowded, slot), len(crowded) - 1)
+                    n = np.where(crowded[near] == slot, dealt[near], 1)
+                place = ((f[row, 0] ^ f[row, 1]) % n.astype(np.uint64)).astype(np.int32)
+                if only_hot:
+                    kept = n > 1
+                    slot, probe, row, place, n = slot[kept], probe[kept], row[kept], place[kept], n[kept]
+                columns = [slot, place, probe, f[row, 0].view(np.int64), f[row, 1].view(np.int64), n.astype(np.int32)]
+                yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns[: 6 if only_hot else 5]], ["slot", "place", "probe", "a", "b", "n"][: 6 if only_hot else 5])
+
+    def compare(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_place(batches, 2):
+            slot, place, probe, a, b = (c.to_numpy() for c in t.columns[:5])
+            f, _ = _unpacked(a, b)
+            yield _edges(f, *slot_links(slot * 8191 + place, probe, f, limit))
+
+    kinds = "slot long, place int, probe boolean, a long, b long"
+    posted = nodes.select("a", "b").mapInArrow(lambda it: post(it, False), kinds)
+    met = posted.repartition("slot", "place").sortWithinPartitions("slot", "place", "probe")
+    first = materialize(_hashed(met.mapInArrow(compare, _EDGE)), "links")
+    if not (places > 1).any():
+        return first
+    again = nodes.select("a", "b").mapInArrow(lambda it: post(it, True), kinds + ", n int").withColumn("fp", F.xxhash64("a", "b"))
+    roots = connected_components(first).withColumnRenamed("node", "fp")
+    rooted = materialize(again.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).drop("fp"), "crowded")
+    most = rooted.groupBy("slot", "root").agg(F.count("*").alias("k")).groupBy("slot").agg(F.max_by("root", F.struct("k", "root")).alias("most"))
+    minor = rooted.join(most, "slot").where("root <> most").withColumn("own", F.col("place"))
+    minor = minor.withColumn("place", F.explode(F.sequence(F.lit(0), F.col("n") - 1))).where("place <> own")
+    both = rooted.select("slot", "place", F.lit(False).alias("guest"), "a", "b", "root").unionByName(minor.select("slot", "place", F.lit(True).alias("guest"), "a", "b", "root"))
+
+    def visit(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for t in _by_place(batches, 2):
+            slot, place, guest, a, b, root = (c.to_numpy() for c in t.columns)
+            f, _ = _unpacked(a, b)
+            starts = np.flatnonzero(np.r_[True, (slot[1:] != slot[:-1]) | (place[1:] != place[:-1])])
+            for s, e in zip(starts.tolist(), [*starts[1:].tolist(), len(slot)]):
+                m = s + int((~guest[s:e]).sum())
+                for at in range(m, e, step := max(1, PAIRS // max(1, m - s))):
+                    stop = min(e, at + step)
+                    near = np.bitwise_count(f[at:stop][:, None] ^ f[s:m][None]).sum(axis=2, dtype=np.int64) <= limit
+                    i, j = np.nonzero(near & (root[at:stop][:, None] != root[s:m][None]))
+                    _, one = np.unique(np.stack([root[at:stop][i], root[s:m][j]], axis=1), axis=0, return_index=True)
+                    yield _edges(f, i[one] + at, j[one] + s)  # one link of two components is enough
+
+    more = both.repartition("slot", "place").sortWithinPartitions("slot", "place", "guest").mapInArrow(visit, _EDGE)
+    return first.unionByName(_hashed(more))
 
 
 def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -320,14 +443,14 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            wide = pa.array([wide_fingerprint(t.as_py()) for t in b.column(1)], pa.binary())
-            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), wide], ["doc_id", "text_key", "wide"])
+            wide = np.frombuffer(b"".join(wide_fingerprint(t.as_py()) for t in b.column(1)), np.int64).reshape(-1, WIDE)
+            yield pa.RecordBatch.from_arrays([b.column(0), b.column(2), pa.array(wide[:, 0]), pa.array(wide[:, 1])], ["doc_id", "text_key", "a", "b"])
 
-    prints = source.mapInArrow(run, "doc_id long, text_key long, wide binary").withColumn("fp", F.xxhash64("wide"))
+    prints = source.mapInArrow(run, "doc_id long, text_key long, a long, b long").withColumn("fp", F.xxhash64("a", "b"))
     prints = materialize(prints, "wide")
-    distinct = prints.groupBy("fp").agg(F.min("doc_id").alias("least"), F.first("wide").alias("wide"))
+    distinct = prints.groupBy("fp", "a", "b").agg(F.min("doc_id").alias("least"))
     distinct = materialize(distinct, "distinct")
-    return _classes(prints.drop("wide"), distinct.drop("wide"), _wide_links(distinct.select("fp", "wide")))
+    return _classes(prints.drop("a", "b"), distinct.select("fp", "least"), wide_links(distinct.select("fp", "a", "b")))
 
 
 def keep_one(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", classes_of: Callable = near_duplicates) -> DataFrame:

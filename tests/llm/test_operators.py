@@ -130,22 +130,8 @@ def test_flipped_probes_find_a_partner_alone_in_its_bucket(spark, monkeypatch, t
 
 
 def slow_similar(texts):
-    """Components of wide fingerprints that share a part and are within the limit."""
-    fps = [int.from_bytes(simhash.wide_fingerprint(t), "little") for t in texts]
-    w = simhash.part_width(len(set(fps)))
-    keys = [[fp >> w * k & ((1 << w) - 1) for k in range(64 * simhash.WIDE // w)] for fp in fps]
-    own = list(range(len(fps)))
-
-    def find(i):
-        while own[i] != i:
-            i = own[i]
-        return i
-
-    for i in range(len(fps)):
-        for j in range(i):
-            if bin(fps[i] ^ fps[j]).count("1") <= simhash.LIMIT and any(a == b for a, b in zip(keys[i], keys[j])):
-                own[find(i)] = find(j)
-    return [find(i) for i in range(len(fps))]
+    """Components of all pairs of wide fingerprints within the limit."""
+    return roots([int.from_bytes(simhash.wide_fingerprint(t), "little") for t in texts], simhash.LIMIT)
 
 
 @pytest.mark.parametrize("crowd", [3, 4096])
@@ -162,7 +148,7 @@ def test_similar(spark, empty, monkeypatch, crowd):
                 near[rng.randrange(len(near))] = f"n{rng.random()}"
             texts.append(" ".join(near))
     texts += ["", None, "a b", "b  a", "a c"]
-    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, wide string").repartition(4)
+    d = spark.createDataFrame([(i, t, "x") for i, t in enumerate(texts)], "doc_id long, text string, a string").repartition(4)
     group = slow_similar(texts)
     got = {r.doc_id: r.component_id for r in simhash.similar(d).collect()}
     assert got == {i: min(j for j, h in enumerate(group) if h == g) for i, g in enumerate(group)}
@@ -172,25 +158,52 @@ def test_similar(spark, empty, monkeypatch, crowd):
     assert simhash.similar(empty).count() == 0 and simhash.keep_one(empty, classes_of=simhash.similar).count() == 0
 
 
-def test_wide_links_find_all_pairs_within_the_limit(spark):
-    """Pairs that differ by the limit in bits spread evenly, and one bit more."""
+@pytest.mark.parametrize("total, crowd", [(None, None), (2**24, None), (2**30, 2)])
+def test_wide_links_find_all_pairs_within_the_limit(spark, total, crowd):
+    """Groups around centres, pairs that differ by the limit in bits spread evenly, and one bit more; against all pairs."""
     rng, rows = np.random.default_rng(8), []
     for k in range(80):
-        x = rng.integers(0, 2, 512)
+        x = rng.integers(0, 2, 128)
         y = x.copy()
-        y[(np.arange(simhash.LIMIT + k % 2) * 10 + k) % 512] ^= 1
-        rows += [(2 * k + i, np.packbits(b.astype(np.uint8), bitorder="little").tobytes()) for i, b in enumerate((x, y))]
-    d = spark.createDataFrame(rows, "fp long, wide binary")
-    got = {frozenset((r.u, r.v)) for r in simhash._wide_links(d).collect()}
-    assert got == {frozenset((2 * k, 2 * k + 1)) for k in range(0, 80, 2)}
-    assert all(512 // simhash.part_width(n) > simhash.LIMIT for n in (2, 10**5, 10**7, 10**10))
+        y[(np.arange(simhash.LIMIT + k % 2) * 8 + k) % 128] ^= 1
+        rows += [x, y]
+    for c in rng.integers(0, 2, (5, 128)):
+        rows += [np.where(rng.random(128) < 0.08, 1 - c, c) for _ in range(40)]
+    f = np.packbits(np.array(rows, np.uint8), axis=1, bitorder="little").view("<i8")
+    d = spark.createDataFrame([(int(a), int(b)) for a, b in f], "a long, b long").select(F.xxhash64("a", "b").alias("fp"), "a", "b")
+    name = {r.fp: (r.a, r.b) for r in d.collect()}
+    ints = [int.from_bytes(x.tobytes(), "little") for x in f]
+    want = roots(ints, simhash.LIMIT)
+    own = {name[r.node]: r.root for r in simhash.connected_components(simhash.wide_links(d, crowd=crowd, total=total)).collect()}
+    got = [own.get((int(a), int(b)), f"alone {a} {b}") for a, b in f]
+    assert len(set(got)) == len(set(want)) == len(set(zip(got, want)))
+
+
+def test_forest_connects_what_all_pairs_connect():
+    rng = np.random.default_rng(3)
+    bits = np.concatenate([np.where(rng.random((50, 128)) < p, 1 - c, c) for c in rng.integers(0, 2, (4, 128)) for p in (0.03, 0.08, 0.12)]).astype(np.uint8)
+    f = np.packbits(bits, axis=1, bitorder="little").view("<u8")
+    u, v = simhash.forest(f, simhash.LIMIT)
+    assert all(int(np.bitwise_count(f[a] ^ f[b]).sum()) <= simhash.LIMIT for a, b in zip(u, v)) and len(u) < len(f)
+    own = list(range(len(f)))
+    for _ in range(len(f)):
+        before = list(own)
+        for a, b in zip(u, v):
+            own[a] = own[b] = min(own[a], own[b])
+        if own == before:
+            break
+    want = roots([int.from_bytes(x.tobytes(), "little") for x in f], simhash.LIMIT)
+    assert len(set(own)) == len(set(want)) == len(set(zip(own, want)))
 
 
 def test_thresholds_add_up():
     sample = np.random.default_rng(0).integers(-(2**63), 2**63 - 1, 500)
     for total in (10, 10**4, 10**9):
-        parts = simhash.plan_parts(sample, total, 2)
+        parts = simhash.plan_parts(simhash.bits_of(sample), total, 2)
         assert sum(t + 1 for _, t in parts) == 3 and len({b for p, _ in parts for b in p}) == sum(len(p) for p, _ in parts)
+        wide = np.random.default_rng(1).integers(0, 2, (500, 128)).astype(np.uint8)
+        parts = simhash.plan_parts(wide, total, simhash.LIMIT, simhash.PROBE)
+        assert sum(t + 1 for _, t in parts) == simhash.LIMIT + 1 and len({b for p, _ in parts for b in p}) == sum(len(p) for p, _ in parts)
 
 
 # --- nearest neighbours
