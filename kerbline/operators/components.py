@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from kerbline.runtime import drop, materialize
 
 
-def _written(edges: DataFrame) -> tuple[DataFrame, tuple]:
+def _written(edges: DataFrame, rows: int | None = None) -> tuple[DataFrame, tuple]:
     """The edges as a table, with their number and a hash that does not depend on order, observed as they are written."""
     seen = Observation()
     checksum = F.sum(F.xxhash64("u", "v").cast("decimal(38,0)"))
-    table = materialize(edges.observe(seen, F.count("*").alias("n"), checksum.alias("h")), "cc")
+    table = materialize(edges.observe(seen, F.count("*").alias("n"), checksum.alias("h")), "cc", rows)
     return table, (seen.get["n"], seen.get["h"])
 
 
@@ -40,7 +40,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 60) -> DataFrame:
     for _ in range(max_rounds):
         if not before[0]:
             break
-        after, state = _written(_small_star(_large_star(now)))
+        after, state = _written(_small_star(_large_star(now)), before[0])
         drop(now)
         now = after
         if state == before:

@@ -28,23 +28,33 @@ def local_session(cpus: int | str = "*", **conf: str) -> SparkSession:
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder of the cluster; a temporary one is set only where the setting is absent."""
+    """The shared folder of the cluster; a temporary one is set only in a local session where the setting is absent."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
         folder = "file://" + tempfile.mkdtemp(prefix="kerbline-")
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
 
 
-def materialize(df: DataFrame, label: str) -> DataFrame:
+#: Rows of a file of an intermediate table whose size is known to be bounded.
+ROWS_A_FILE = 20_000
+
+
+def materialize(df: DataFrame, label: str, rows: int | None = None) -> DataFrame:
     """Write ``df`` once as Parquet in the shared folder and return a reader of it; lineage ends there.
 
-    The folder is removed when the driver's JVM ends.
+    ``rows`` is a known bound on the rows: the last stage then has as many tasks as that takes, not one for each shuffle
+    partition, because every small file costs its task several calls of the file system. The folder is removed when the
+    driver's JVM ends.
     """
     spark = df.sparkSession
+    if rows is not None:
+        df = df.coalesce(max(1, -(-rows // ROWS_A_FILE)))
     path = f"{shared_dir(spark)}/kerbline/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     hadoop = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
