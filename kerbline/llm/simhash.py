@@ -171,7 +171,7 @@ def links(distinct: DataFrame, radius: int = 2) -> DataFrame:
     # An unflipped probe meets itself, so it needs a second member; one alone in its bucket is found by flipped probes.
     sizes = indexed.groupBy("part", "key").agg(F.count("*").alias("members")).where((F.col("members") > 1) | F.col("part").isin(flipped))
     sized = probes.join(sizes, ["part", "key"]).where((F.col("members") > 1) | ~F.col("own")).drop("own")
-    sized = materialize(sized, "probes")
+    sized = materialize(sized, "probes", total * len(probe))
     pairs = (
         sized.where(F.col("members") <= BUCKET)
         .join(indexed, ["part", "key"])
@@ -200,15 +200,16 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     component_id unless its component has no other. Repeated rows give repeated rows. Other columns are not read.
     """
     prints = materialize(fingerprints(docs, id_col, text_col, size), "fingerprints")
-    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct")
+    distinct = materialize(prints.groupBy("fp").agg(F.min("doc_id").alias("least")), "distinct", prints.count())
     return _classes(prints, distinct, links(distinct, radius))
 
 
 def _classes(prints: DataFrame, distinct: DataFrame, edges: DataFrame) -> DataFrame:
     roots = connected_components(edges).withColumnRenamed("node", "fp")
     # Both sides are read back, so that a large component's rows can be split where they are joined.
-    rooted = materialize(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted")
-    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least")
+    many = distinct.count()
+    rooted = materialize(distinct.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")), "rooted", many)
+    least = materialize(rooted.groupBy("root").agg(F.min("least").alias("component_id")), "least", many)
     classes = rooted.join(least, "root").select("fp", "component_id")
     return prints.join(classes, "fp").select("doc_id", "text_key", "fp", "component_id")
 
@@ -449,7 +450,7 @@ def similar(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") ->
     prints = source.mapInArrow(run, "doc_id long, text_key long, a long, b long").withColumn("fp", F.xxhash64("a", "b"))
     prints = materialize(prints, "wide")
     distinct = prints.groupBy("fp", "a", "b").agg(F.min("doc_id").alias("least"))
-    distinct = materialize(distinct, "distinct")
+    distinct = materialize(distinct, "distinct", prints.count())
     return _classes(prints.drop("a", "b"), distinct.select("fp", "least"), wide_links(distinct.select("fp", "a", "b")))
 
 
