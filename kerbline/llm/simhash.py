@@ -37,8 +37,8 @@ BUCKET = 64
 BLOCK = 1 << 16
 #: Wide fingerprints: words of 64 bits, and the distance that still links.
 WIDE, LIMIT = 2, 15
-#: Estimated cost of a probe, a row that is shuffled, in comparisons.
-PROBE = 100.0
+#: Weight of a probe, a row that is shuffled, in comparisons; low enough that the plan is the same from some ten thousand texts on.
+PROBE = 8.0
 #: Pairs of wide fingerprints that are compared at once, and those of a slot that is compared together with others.
 PAIRS, BATCHED = 1 << 20, 1 << 12
 #: Rows of a slot in one place; the places of a slot are connected in a second pass.
@@ -353,7 +353,28 @@ def _by_place(batches: Iterator[pa.RecordBatch], keys: int) -> Iterator[pa.Table
         yield pa.Table.from_batches(rest)
 
 
+def stars(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The links ``(i, j)`` between rows of ``f`` as one star for each connected set: its least fingerprint and each other one."""
+    rows, back = np.unique(np.concatenate((i, j)), return_inverse=True)
+    _, first, same = np.unique(f[rows], axis=0, return_index=True, return_inverse=True)
+    u, v = np.split(same.ravel()[back.ravel()], 2)
+    least = np.arange(len(first))  # unique fingerprints are sorted, so a smaller number is a smaller fingerprint
+    while True:
+        low = np.minimum(least[u], least[v])
+        now = least.copy()
+        for ends in (u, v, least[u], least[v]):
+            np.minimum.at(now, ends, low)
+        now = now[now]
+        if (now == least).all():
+            break
+        least = now
+    other = np.flatnonzero(least != np.arange(len(least)))
+    return rows[first[least[other]]], rows[first[other]]
+
+
 def _edges(f: np.ndarray, i: np.ndarray, j: np.ndarray) -> pa.RecordBatch:
+    if len(i):
+        i, j = stars(f, i, j)
     ends = [pa.array(np.ascontiguousarray(f[k][:, w]).view(np.int64)) for k in (i, j) for w in (0, 1)]
     return pa.RecordBatch.from_arrays(ends, ["ua", "ub", "va", "vb"])
 
