@@ -5,12 +5,11 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-#: Road classes in order of matching, and those that have an indicator of their own (fixed values).
+#: Road classes in order of matching (fixed values).
 ROAD_CLASSES = (
-    "motorway", "trunk", "primary", "secondary", "tertiary", "residential", "living_street", "pedestrian", "footway", "cycleway",
-    "service", "path", "bridleway", "steps", "track", "corridor", "elevator",
+    "motorway", "trunk", "primary", "secondary", "tertiary", "pedestrian", "residential", "living_street", "service", "bridleway",
+    "footway", "path", "steps", "track", "corridor", "elevator", "cycleway",
 )
-ROAD_INDICATORS = ROAD_CLASSES[:12]
 
 
 def road_class(highway: Column) -> Column:

@@ -12,16 +12,38 @@ from pyspark.sql import functions as F
 from kerbline.runtime import materialize
 
 Weights = dict[str, np.ndarray]
+EPS = 1e-5
 
 
-def random_weights(inputs: int, hidden: int, layers: int, seed: int = 0) -> Weights:
-    """Weights of the model's shape, for tests and for runs without a checkpoint."""
+def random_weights(inputs: int, hidden: int, layers: int, seed: int = 0, wide: int | None = None) -> Weights:
+    """Weights of the model's shape under its own names, for tests and for runs without a checkpoint.
+
+    A linear map ``x W' + b`` keeps W as ``(outputs, inputs)``; ``wide`` is the width of the encoder's first layer.
+    """
     rng = np.random.default_rng(seed)
-    mat = lambda a, b: rng.normal(0, 1 / np.sqrt(a), (a, b))
-    w: Weights = {"enc1": mat(inputs, hidden), "enc1b": np.zeros(hidden), "enc2": mat(hidden, hidden), "enc2b": np.zeros(hidden)}
+    wide = wide or hidden
+    w: Weights = {}
+
+    def linear(name: str, a: int, b: int, bias: bool = True) -> None:
+        w[f"{name}.weight"] = rng.normal(0, 1 / np.sqrt(a), (b, a))
+        if bias:
+            w[f"{name}.bias"] = rng.normal(0, 0.1, b)
+
+    def batch_norm(name: str, n: int) -> None:
+        w.update({f"{name}.weight": rng.uniform(0.5, 1.5, n), f"{name}.bias": rng.normal(0, 0.1, n), f"{name}.running_mean": rng.normal(0, 0.1, n), f"{name}.running_var": rng.uniform(0.5, 1.5, n)})
+
+    linear("encoder.net.0", inputs, wide)
+    batch_norm("encoder.net.1", wide)
+    linear("encoder.net.4", wide, hidden)
+    batch_norm("encoder.net.5", hidden)
     for i in range(layers):
-        w |= {f"gate{i}": mat(2 * hidden, hidden), f"gate{i}b": np.zeros(hidden), f"lin{i}": mat(hidden, hidden), f"lin{i}b": np.zeros(hidden), f"norm{i}": np.ones(hidden), f"norm{i}b": np.zeros(hidden)}
-    return w | {"head1": mat(hidden, hidden), "head1b": np.zeros(hidden), "head2": mat(hidden, 1), "head2b": np.zeros(1)}
+        linear(f"layers.{i}.W", hidden, hidden, bias=False)
+        linear(f"layers.{i}.gate.0", 2 * hidden, hidden)
+        linear(f"layers.{i}.gate.2", hidden, 1)
+        w.update({f"layers.{i}.norm.weight": rng.uniform(0.5, 1.5, hidden), f"layers.{i}.norm.bias": rng.normal(0, 0.1, hidden)})
+    linear("head.0", hidden, hidden // 2)
+    linear("head.3", hidden // 2, 1)
+    return w
 
 
 def sigmoid(x: np.ndarray) -> np.ndarray:
@@ -29,8 +51,17 @@ def sigmoid(x: np.ndarray) -> np.ndarray:
 
 
 def layer_norm(x: np.ndarray, scale: np.ndarray, shift: np.ndarray) -> np.ndarray:
-    mean, var = x.mean(1, keepdims=True), x.var(1, keepdims=True)
-    return (x - mean) / np.sqrt(var + 1e-5) * scale + shift
+    mean, var = x.mean(-1, keepdims=True), x.var(-1, keepdims=True)
+    return (x - mean) / np.sqrt(var + EPS) * scale + shift
+
+
+def _linear(x: np.ndarray, w: Weights, name: str) -> np.ndarray:
+    return x @ w[f"{name}.weight"].T + w.get(f"{name}.bias", 0.0)
+
+
+def _batch_norm(x: np.ndarray, w: Weights, name: str) -> np.ndarray:
+    """With the statistics of training, as always in inference."""
+    return (x - w[f"{name}.running_mean"]) / np.sqrt(w[f"{name}.running_var"] + EPS) * w[f"{name}.weight"] + w[f"{name}.bias"]
 
 
 def _matrix(column: pa.Array) -> np.ndarray:
@@ -38,75 +69,110 @@ def _matrix(column: pa.Array) -> np.ndarray:
 
 
 def _lists(x: np.ndarray) -> pa.Array:
-    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, x.shape[1], dtype=np.int32) if len(x) else np.zeros(1, np.int32), pa.array(x.ravel()))
+    x = np.ascontiguousarray(x.reshape(len(x), -1))
+    return pa.ListArray.from_arrays(np.arange(0, x.size + 1, max(1, x.shape[1]), dtype=np.int32) if len(x) else np.zeros(1, np.int32), pa.array(x.ravel()))
+
 
+def _kept(ids: np.ndarray, runs: int, width: int, layer: int, dropout: float) -> np.ndarray:
+    """Dropout factors ``(rows, runs + 1, width)``; run 0 has none. They depend on row, run, layer and unit alone, so that a
+    lost task gives the same again."""
+    out = np.ones((len(ids), runs + 1, width))
+    if dropout and runs:
+        unit = np.arange(runs * width, dtype=np.uint64) + np.uint64(layer << 32)
+        h = (ids.astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15))[:, None] + unit * np.uint64(0xBF58476D1CE4E5B9)
+        for shift, factor in ((30, 0xBF58476D1CE4E5B9), (27, 0x94D049BB133111EB)):
+            h = (h ^ (h >> np.uint64(shift))) * np.uint64(factor)
+        u = (h ^ (h >> np.uint64(31))).astype(float) / 2.0**64
+        out[:, 1:] = ((u >= dropout) / (1 - dropout)).reshape(len(ids), runs, width)
+    return out
 
-def _dense(df: DataFrame, w: Weights, f, out: str) -> DataFrame:
-    """``f(x, weights, ids, runs)`` on the rows' vectors ``x``; ids and runs are carried."""
-    shared = df.sparkSession.sparkContext.broadcast(w)
+
+def _rows(df: DataFrame, w: Weights, f) -> DataFrame:
+    """``(id, x)`` with ``f(x, ids, weights)`` in the place of every vector."""
+    shared = df.sparkSession.sparkContext.broadcast(w)  # as large as the network
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             if len(b):
-                y = f(_matrix(b.column(2)), shared.value, b.column(0).to_numpy(), b.column(1).to_numpy())
-                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), _lists(y)], ["id", "run", out])
-
-    return df.select("id", "run", "x").mapInArrow(run, f"id long, run int, {out} array<double>")
-
+                y = f(_matrix(b.column(1)), b.column(0).to_numpy(), shared.value)
+                yield pa.RecordBatch.from_arrays([b.column(0), _lists(y)], ["id", "x"])
 
-def _kept(shape: tuple[int, int], ids: np.ndarray, runs: np.ndarray, layer: int, dropout: float) -> np.ndarray:
-    """A dropout mask that depends on row, run and layer alone, so that a lost task gives the same again."""
-    if not dropout or not runs.any():
-        return np.ones(shape)
-    masks = [np.random.default_rng([int(i) & 0xFFFFFFFF, int(r), layer]).random(shape[1]) >= dropout if r else np.ones(shape[1]) for i, r in zip(ids, runs)]
-    scale = np.where(runs[:, None] > 0, 1 - dropout, 1.0)
-    return np.array(masks) / scale
+    return df.select("id", "x").mapInArrow(run, "id long, x array<double>")
 
 
 def predict(nodes: DataFrame, edges: DataFrame, w: Weights, layers: int, runs: int = 0, dropout: float = 0.2) -> DataFrame:
     """``(id, run, score)`` for ``nodes(id, x array<double>)`` and ``edges(src, dst)``; run 0 is without dropout.
 
-    A layer joins both ends of each edge, computes gated messages in Arrow batches, means them on the receiving node and
-    normalises. All neighbours are used, so results do not depend on sampling.
+    All runs of a node are one row, so edges are joined and shuffled once a layer, whatever the number of runs. All
+    neighbours are used, so results do not depend on sampling.
     """
-    start = nodes.select(F.col("id").cast("long").alias("id"), F.explode(F.sequence(F.lit(0), F.lit(runs))).alias("run"), "x")
+    hidden = w["encoder.net.4.weight"].shape[0]
 
-    def encode(x: np.ndarray, w: Weights, ids: np.ndarray, run: np.ndarray) -> np.ndarray:
-        h = np.maximum(x @ w["enc1"] + w["enc1b"], 0) * _kept((len(x), w["enc1"].shape[1]), ids, run, 100, dropout)
-        return np.maximum(h @ w["enc2"] + w["enc2b"], 0)
+    def encode(x: np.ndarray, ids: np.ndarray, w: Weights) -> np.ndarray:
+        h = np.maximum(_batch_norm(_linear(x, w, "encoder.net.0"), w, "encoder.net.1"), 0)
+        h = h[:, None] * _kept(ids, runs, h.shape[1], 100, dropout)
+        return np.maximum(_batch_norm(_linear(h, w, "encoder.net.4"), w, "encoder.net.5"), 0)
 
-    h = materialize(_dense(start, w, encode, "x"), "encoded")
+    h = materialize(_rows(nodes.select(F.col("id").cast("long").alias("id"), "x"), w, encode), "encoded")
     for i in range(layers):
-        h = materialize(_layer(h, edges, w, i, dropout), f"layer{i}")
+        h = materialize(_layer(h, edges, w, i, runs, dropout), f"layer{i}")
 
-    def head(x: np.ndarray, w: Weights, ids: np.ndarray, run: np.ndarray) -> np.ndarray:
-        y = np.maximum(x @ w["head1"] + w["head1b"], 0) * _kept((len(x), w["head1"].shape[1]), ids, run, 200, dropout)
-        return sigmoid(y @ w["head2"] + w["head2b"])
+    def head(x: np.ndarray, ids: np.ndarray, w: Weights) -> np.ndarray:
+        y = np.maximum(_linear(x.reshape(len(x), runs + 1, hidden), w, "head.0"), 0)
+        return _linear(y * _kept(ids, runs, y.shape[2], 200, dropout), w, "head.3")
 
-    return _dense(h, w, head, "y").select("id", "run", F.get("y", 0).alias("score"))
+    return _rows(h, w, head).select("id", F.posexplode("x").alias("run", "score"))
 
 
-def _layer(h: DataFrame, edges: DataFrame, w: Weights, i: int, dropout: float) -> DataFrame:
-    size = w[f"lin{i}"].shape[1]
-    a = h.select(F.col("id").alias("src"), "run", F.col("x").alias("xs"))
-    b = h.select(F.col("id").alias("dst"), "run", F.col("x").alias("xd"))
-    pairs = edges.join(a, "src").join(b, ["dst", "run"]).select(F.col("src").alias("id"), "run", F.concat("xs", "xd").alias("x"))
+def _layer(h: DataFrame, edges: DataFrame, w: Weights, i: int, runs: int, dropout: float) -> DataFrame:
+    """One layer: each edge brings its far end's vectors to its near end, whose row comes first and takes their gated mean."""
+    hidden, name = w[f"layers.{i}.W.weight"].shape[0], f"layers.{i}"
+    shared = h.sparkSession.sparkContext.broadcast({k: v for k, v in w.items() if k.startswith(name + ".")})
+    far = edges.select(F.col("src").cast("long").alias("at"), F.col("dst").cast("long").alias("id")).join(h, "id")
+    both = h.select(F.col("id").alias("at"), F.lit(0).alias("sent"), "x").unionByName(far.select("at", F.lit(1).alias("sent"), "x"))
+    both = both.repartition("at").sortWithinPartitions("at", "sent")
 
-    def message(x: np.ndarray, w: Weights, ids: np.ndarray, run: np.ndarray) -> np.ndarray:
-        other = x[:, x.shape[1] // 2 :]
-        return sigmoid(x @ w[f"gate{i}"] + w[f"gate{i}b"]) * (other @ w[f"lin{i}"] + w[f"lin{i}b"])
-
-    sent = _dense(pairs, w, message, "m")
-    mean = sent.groupBy("id", "run").agg(F.array(*[F.avg(F.get("m", k)) for k in range(size)]).alias("m"))
-    zero = F.array_repeat(F.lit(0.0), size)
-    both = h.join(mean, ["id", "run"], "left").select("id", "run", F.concat("x", F.coalesce("m", zero)).alias("x"))
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        cut = p[f"{name}.gate.0.weight"][:, :hidden].T, p[f"{name}.gate.0.weight"][:, hidden:].T
+        own: tuple | None = None  # the node whose messages go on in the next batch: id, vectors, sum, number
 
-    def update(x: np.ndarray, w: Weights, ids: np.ndarray, run: np.ndarray) -> np.ndarray:
-        old, got = x[:, : x.shape[1] // 2], x[:, x.shape[1] // 2 :]
-        got = got * _kept(got.shape, ids, run, i, dropout)
-        return np.maximum(layer_norm(old + got, w[f"norm{i}"], w[f"norm{i}b"]), 0)
+        def done(ids: np.ndarray, x: np.ndarray, total: np.ndarray, n: np.ndarray) -> pa.RecordBatch:
+            mean = total / np.maximum(n, 1)[:, None, None] * _kept(ids, runs, hidden, i, dropout)
+            y = np.maximum(layer_norm(x + mean, p[f"{name}.norm.weight"], p[f"{name}.norm.bias"]), 0)
+            return pa.RecordBatch.from_arrays([pa.array(ids), _lists(y)], ["id", "x"])
 
-    return _dense(both, w, update, "x")
+        for b in batches:
+            if not len(b):
+                continue
+            at, sent = b.column(0).to_numpy(), b.column(1).to_numpy()
+            x = _matrix(b.column(2)).reshape(len(b), runs + 1, hidden)
+            heads = np.flatnonzero(sent == 0)
+            ids, nodes = at[heads], x[heads]
+            total, n = np.zeros_like(nodes), np.zeros(len(heads))
+            if own is not None:
+                ids, nodes = np.r_[own[0], ids], np.concatenate((own[1], nodes))
+                total, n = np.concatenate((own[2], total)), np.r_[own[3], n]
+            edge = np.flatnonzero(sent == 1)
+            to = np.searchsorted(ids, at[edge])
+            here = to < len(ids)
+            here[here] = ids[to[here]] == at[edge][here]  # an edge from no node is left out
+            edge, to = edge[here], to[here]
+            if len(edge):
+                other = x[edge]
+                gate = np.maximum((nodes @ cut[0])[to] + other @ cut[1] + p[f"{name}.gate.0.bias"], 0)
+                message = sigmoid(_linear(gate, p, f"{name}.gate.2")) * _linear(other, p, f"{name}.W")
+                first = np.flatnonzero(np.r_[True, to[1:] != to[:-1]])
+                total[to[first]] += np.add.reduceat(message, first)
+                n[to[first]] += np.diff(np.r_[first, len(to)])
+            if len(ids):
+                if len(ids) > 1:
+                    yield done(ids[:-1], nodes[:-1], total[:-1], n[:-1])
+                own = ids[-1:], nodes[-1:], total[-1:], n[-1:]
+        if own is not None:
+            yield done(*own)
+
+    return both.mapInArrow(run, "id long, x array<double>")
 
 
 def uncertainty(scores: DataFrame) -> DataFrame:
@@ -130,14 +196,24 @@ def uniform_ranks(df: DataFrame, value: str, name: str) -> DataFrame:
 
 
 def quantile_scale(df: DataFrame, columns: dict[str, list[float]]) -> DataFrame:
-    """Piecewise-linear transform of each column by its fitted quantiles, clipped to 0..1, without leaving the JVM."""
+    """Piecewise-linear transform of each column by its fitted quantiles, clipped to 0..1; null becomes NaN.
 
-    def scale(c: str, qs: list[float]):
-        n, x = len(qs) - 1, F.col(c)
-        out = F.when(x <= qs[0], F.lit(0.0)).when(x >= qs[-1], F.lit(1.0))
-        for i, (a, b) in enumerate(zip(qs, qs[1:])):
-            if b > a:
-                out = out.when((x >= a) & (x < b), (i + (x - a) / (b - a)) / n)
-        return out
+    A value that several quantiles share goes to the middle of their places: the mean of both directions of interpolation.
+    The quantiles travel as arrays, so that hundreds of columns with a thousand of them need no generated code.
+    """
+    shared = df.sparkSession.sparkContext.broadcast({c: np.array(q, float) for c, q in columns.items()})  # as large as the scaler
+    fields = [f"`{f.name}` {'double' if f.name in columns else f.dataType.simpleString()}" for f in df.schema.fields]
 
-    return df.withColumns({c: scale(c, qs) for c, qs in columns.items()})
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for b in batches:
+            out = []
+            for name, column in zip(b.schema.names, b.columns):
+                q = shared.value.get(name)
+                if q is not None:
+                    x, place = column.cast(pa.float64()).to_numpy(zero_copy_only=False), np.linspace(0, 1, len(q))
+                    y = 0.5 * (np.interp(x, q, place) - np.interp(-x, -q[::-1], -place[::-1]))
+                    column = pa.array(np.where(x <= q[0], 0.0, np.where(x >= q[-1], 1.0, y)))
+                out.append(column)
+            yield pa.RecordBatch.from_arrays(out, b.schema.names)
+
+    return df.mapInArrow(run, ", ".join(fields))

@@ -13,7 +13,7 @@ from kerbline.runtime import materialize
 
 __all__ = [
     "complete", "degrees", "drop_repeated_names", "first_column", "fused_edges", "keep_first", "left_chain", "number_rows",
-    "pad_columns", "surrogate_ids", "two_sided",
+    "pad_columns", "quantiles", "surrogate_ids", "two_sided",
 ]
 
 
@@ -39,6 +39,25 @@ def surrogate_ids(df: DataFrame, first: str, second: str, order: Sequence[str])
     return number_rows(least.select("key", "o.*"), ["side", *order, "key"], "node", 1).select("key", "node")
 
 
+def quantiles(df: DataFrame, value: str, qs: Sequence[float]) -> DataFrame:
+    """One row ``(q array<double>)``: interpolated quantiles of a column, null without values.
+
+    Exact: values are counted, cut into ranges, and each range gets its offset from counts, so no task holds all of them.
+    """
+    counts = df.select(F.col(value).cast("double").alias("v")).where("v is not null").groupBy("v").agg(F.count("*").alias("n"))
+    parts = counts.repartitionByRange("v").withColumn("part", F.spark_partition_id())
+    local = Window.partitionBy("part").orderBy("v").rowsBetween(Window.unboundedPreceding, -1)
+    ranked = materialize(parts.withColumn("before", F.coalesce(F.sum("n").over(local), F.lit(0))), "quantiles")
+    sizes = ranked.groupBy("part").agg(F.sum("n").alias("size"))
+    base = F.coalesce(F.sum("size").over(Window.orderBy("part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    offsets = sizes.select("part", base.alias("base"), F.sum("size").over(Window.partitionBy()).alias("total"))
+    at = ranked.join(offsets, "part").withColumn("first", F.col("base") + F.col("before"))
+    holds = lambda rank: F.max(F.when((F.col("first") <= rank) & (rank < F.col("first") + F.col("n")), F.col("v")))
+    place = [F.lit(float(q)) * (F.col("total") - 1) for q in qs]
+    ends = at.agg(*[c for i, p in enumerate(place) for c in (holds(F.floor(p)).alias(f"lo{i}"), holds(F.ceil(p)).alias(f"hi{i}"))], F.max("total").alias("total"))
+    return ends.select(F.array(*[F.col(f"lo{i}") + (F.col(f"hi{i}") - F.col(f"lo{i}")) * (p - F.floor(p)) for i, p in enumerate(place)]).alias("q"))
+
+
 def left_chain(base: DataFrame, tables: Sequence[DataFrame], key: str) -> DataFrame:
     """All tables left-joined to ``base`` on one key; a column name that came before is left out of later tables."""
 

@@ -11,6 +11,7 @@ from kerbline.functions import utm
 from kerbline.operators import relational as rel
 from kerbline.plans.registry import query
 from kerbline.plans.tables import EVENT_TYPES, Tables
+from kerbline.sources import roads, vector
 
 R6 = lambda c, n: F.round(c, 6).alias(n)
 
@@ -25,14 +26,8 @@ def number(t: Tables) -> DataFrame:
     return rel.number_rows(t.orders.select("o_orderkey", "o_orderdate"), ["o_orderdate", "o_orderkey"]).select("o_orderkey", F.col("n").cast("long").alias("n"))
 
 
-@query("prj6_8_parse_and_drop", "SELECT event_id, TRY_CAST(cat_l2 AS DOUBLE) AS k FROM pois WHERE TRY_CAST(cat_l2 AS DOUBLE) IS NOT NULL AND event_id % 3 <> 0")
+@query("prj6_8_parse_and_drop", "SELECT event_id, TRY_CAST(cat_l2 AS DOUBLE) AS k FROM pois WHERE TRY_CAST(cat_l2 AS DOUBLE) IS NOT NULL")
 def parse(t: Tables) -> DataFrame:
-    d = t.pois.select("event_id", s.to_number(F.col("cat_l2")).alias("k"))
-    return d.dropna(subset=["k"]).where(~F.isnan("k") & (F.abs("k") < float("inf")) & (F.col("event_id") % 3 != 0))
-
-
-@query("prj6_8_parse_all_events", "SELECT event_id, TRY_CAST(cat_l2 AS DOUBLE) AS k FROM pois WHERE TRY_CAST(cat_l2 AS DOUBLE) IS NOT NULL")
-def parse_all(t: Tables) -> DataFrame:
     d = t.pois.select("event_id", s.to_number(F.col("cat_l2")).alias("k"))
     return d.dropna(subset=["k"]).where(~F.isnan("k") & (F.abs("k") < float("inf")))
 
@@ -95,13 +90,18 @@ def vocabulary(t: Tables) -> DataFrame:
     return t.pois.select("event_id", code.alias("code"), (code < 3).alias("known"))
 
 
-_ROADS = "['footway', 'path']", "Motorway_link", "unclassified", "primary_link", "steps", "living_street", "service"
+_ROADS = "['footway', 'service']", "Motorway_link", "unclassified", "['residential', 'pedestrian']", "steps", "Living_Street", "['cycleway', 'path']"
+#: What each of them is, and classes in order, spelled out so that the operator's own list is not asked.
+_ORDERED = (
+    "motorway trunk primary secondary tertiary pedestrian residential living_street service bridleway footway path steps track corridor "
+    "elevator cycleway"
+).split()
 _PICK = "CASE " + " ".join(f"WHEN id % 7 = {i} THEN '{v.replace(chr(39), chr(39) * 2)}'" for i, v in enumerate(_ROADS)) + " END"
 
 
 @query(
     "str1_2_road_class",
-    f"""SELECT id, CASE {" ".join(f"WHEN contains(lower(h), '{c}') THEN '{c}'" for c in s.ROAD_CLASSES)} END AS road FROM (SELECT id, {_PICK} AS h FROM segments)
+    f"""SELECT id, CASE {" ".join(f"WHEN contains(lower(h), '{c}') THEN '{c}'" for c in _ORDERED)} END AS road FROM (SELECT id, {_PICK} AS h FROM segments)
         WHERE h <> 'unclassified'""",
 )
 def road_class(t: Tables) -> DataFrame:
@@ -109,6 +109,51 @@ def road_class(t: Tables) -> DataFrame:
     return t.segments.select("id", s.road_class(h).alias("road")).where("road is not null")
 
 
+@query(
+    "prj21_22_heights",
+    """WITH raw AS (SELECT rid, CASE WHEN rid % 7 = 0 THEN 'none' WHEN rid % 5 = 0 THEN '0' ELSE CAST(height AS VARCHAR) END AS v FROM buildings),
+       good AS (SELECT rid, CASE WHEN try_cast(v AS DOUBLE) > 0 THEN try_cast(v AS DOUBLE) END AS m FROM raw),
+       filled AS (SELECT rid, coalesce(m, (SELECT median(m) FROM good)) AS m FROM good),
+       both_of AS (SELECT 'HGT' AS source, 1 AS k UNION ALL SELECT 'Floors', 3 UNION ALL SELECT 'none', 0)
+       SELECT rid, source, round(least(k * m, 2 * k * (SELECT quantile_cont(m, 0.99) FROM filled)), 6) AS height FROM filled, both_of""",
+)
+def heights(t: Tables) -> DataFrame:
+    """Metres before storeys, storeys times three, and nothing known."""
+    text = F.when(F.col("rid") % 7 == 0, "none").when(F.col("rid") % 5 == 0, "0").otherwise(F.col("height").cast("string"))
+    raw = t.buildings.select("rid", text.alias("HGT"), F.lit("9").alias("Floors"))
+    tables = {"HGT": raw, "Floors": raw.select("rid", F.col("HGT").alias("Floors")), "none": raw.select("rid", F.col("HGT").alias("Elevation"))}
+    parts = [vector.heights(d).select("rid", F.lit(name).alias("source"), R6(F.col("height"), "height")) for name, d in tables.items()]
+    return parts[0].unionByName(parts[1]).unionByName(parts[2])
+
+
+_NEAR = "{c} / 1000.0 + ({k} % 3) * 0.0000004"
+
+
+@query(
+    "mth5_node_keys",
+    f"""SELECT x, y, count(*) AS ends FROM (SELECT round_even({_NEAR.format(c="x0", k="id")}, 6) AS x, round_even({_NEAR.format(c="y0", k="a")}, 6) AS y FROM segments)
+        GROUP BY x, y""",
+)
+def node_keys(t: Tables) -> DataFrame:
+    """Ends less than half a millionth apart are one node."""
+    near = lambda c, k: F.col(c) / 1000.0 + (F.col(k) % 3) * 0.0000004
+    d = t.segments.select(roads.node_key(F.struct(near("x0", "id").alias("x"), near("y0", "a").alias("y"))).alias("n"))
+    return d.groupBy("n").agg(F.count("*").alias("ends")).select("n.x", "n.y", "ends")
+
+
+#: Points in well-known binary, of either byte order, and no point (fixed values).
+_WKB = {
+    "0101000000000000000000F83F00000000000002C0": "(1.5, -2.25)", "0101000000C3F5285C8F8252C0D7A3703D0A574440": "(-74.04, 40.68)",
+    "00000000013FF80000000000000000000000000000": "(1.5, 0.0)", "0102000000000000000000F83F00000000000002C0": "(NULL, NULL)",
+}
+
+
+@query("geo0_point", "SELECT wkb, CAST(x AS DOUBLE) AS x, CAST(y AS DOUBLE) AS y FROM (VALUES " + ", ".join(f"('{k}', {v[1:-1]})" for k, v in _WKB.items()) + ") AS v(wkb, x, y)")
+def point(t: Tables) -> DataFrame:
+    d = t.spark.createDataFrame([(k,) for k in _WKB], "wkb string")
+    return d.select("wkb", vector.wkb_point(F.unhex("wkb")).alias("p")).select("wkb", "p.x", "p.y")
+
+
 @query(
     "str4_5_arr1_2_jsn1_text",
     """SELECT o_orderkey, replace(o_orderpriority, '-', ' ') AS name, coalesce(CASE WHEN o_orderkey % 5 > 0 THEN o_orderstatus END, '') AS st,
@@ -213,10 +258,10 @@ def gini(t: Tables) -> DataFrame:
 )
 def max_normalise(t: Tables) -> DataFrame:
     """Global scalars come back as one broadcast row."""
-    one = t.buildings.agg(
-        F.max("area").alias("m"), F.percentile("area", 0.9).alias("q"), F.median(F.when(F.col("height") > 5, F.col("height"))).alias("h"), F.sum("area").alias("total")
-    )
-    d = t.buildings.crossJoin(F.broadcast(one))
+    one = t.buildings.agg(F.max("area").alias("m"), F.sum("area").alias("total"))
+    q = rel.quantiles(t.buildings, "area", [0.9]).select(F.get("q", 0).alias("q"))
+    h = rel.quantiles(t.buildings.where("height > 5"), "height", [0.5]).select(F.get("q", 0).alias("h"))
+    d = t.buildings.crossJoin(F.broadcast(one)).crossJoin(F.broadcast(q)).crossJoin(F.broadcast(h))
     filled = F.coalesce(F.when(F.col("height") > 5, F.col("height").cast("double")), F.col("h"))
     return d.select("rid", R6(F.col("area") / F.col("m"), "rel"), (F.col("area") >= F.col("q")).alias("core"), R6(filled, "filled"), F.round(F.col("area") / F.col("total"), 12).alias("share"))
 

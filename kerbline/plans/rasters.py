@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import geometry as g
 from kerbline.functions import scalar as s
 from kerbline.operators import raster
+from kerbline.operators.relational import quantiles
 from kerbline.plans.buffers import BOUNDARY, _inside_sql, boundary
 from kerbline.plans.registry import query
 from kerbline.plans.tables import AFFINE, BLUE, COVER, GREEN, IMPERVIOUS, SIDE, Tables
@@ -72,19 +73,10 @@ def cover_shares(t: Tables) -> DataFrame:
     "win5_box_percentiles",
     """SELECT "row", col, list_sort(list(v))[CAST(ceil(0.1 * count(*)) AS INTEGER)] AS p10, list_sort(list(v))[CAST(ceil(0.5 * count(*)) AS INTEGER)] AS p50, list_sort(list(v))[CAST(ceil(0.9 * count(*)) AS INTEGER)] AS p90
        FROM (SELECT a."row", a.col, round(n.dem, 6) AS v FROM cells a, (SELECT unnest(range(-2, 3)) AS i) x, (SELECT unnest(range(-2, 3)) AS j) y, cells n
-       WHERE (a."row" * 7 + a.col) % 50 = 0 AND n."row" = least(greatest(a."row" + i, 0), 127) AND n.col = least(greatest(a.col + j, 0), 127)) GROUP BY 1, 2""",
+       WHERE n."row" = least(greatest(a."row" + i, 0), 127) AND n.col = least(greatest(a.col + j, 0), 127)) GROUP BY 1, 2""",
 )
 def percentiles(t: Tables) -> DataFrame:
-    """Only around the cells that are asked for."""
-    at = t.dem.where("(row * 7 + col) % 50 = 0")
-    band = t.dem.withColumn("value", F.round("value", 6))
-    out = raster.box_percentiles(band, at, 50, SIDE, SIDE, [0.1, 0.5, 0.9])
-    return out.select("row", "col", *[F.get("p", i).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
-
-
-@query("win5_box_percentiles_all_cells")
-def all_percentiles(t: Tables) -> DataFrame:
-    """Around every cell; tests compare with brute force."""
+    """Around every cell."""
     band = t.dem.withColumn("value", F.round("value", 6))
     out = raster.box_percentiles(band, t.dem, 50, SIDE, SIDE, [0.1, 0.5, 0.9])
     return out.select("row", "col", *[F.get("p", i).alias(n) for i, n in enumerate(("p10", "p50", "p90"))])
@@ -155,7 +147,7 @@ def block_sum(t: Tables) -> DataFrame:
     'SELECT id, value, coalesce(value, 0) >= (SELECT quantile_cont(value, 0.9) FROM cells WHERE value > 0) AS core FROM segments LEFT JOIN cells ON col = floor(x0 / 80.0) AND "row" = floor((y0 - 10240.0) / -80.0)',
 )
 def sample(t: Tables) -> DataFrame:
-    q = t.cells.where("value > 0").agg(F.percentile("value", 0.9).alias("q"))
+    q = quantiles(t.cells.where("value > 0"), "value", [0.9]).select(F.get("q", 0).alias("q"))
     points = t.segments.select("id", F.col("x0").alias("px"), F.col("y0").alias("py"))
     out = raster.sample(points, t.cells, AFFINE).crossJoin(F.broadcast(q))
     return out.select("id", "value", (F.coalesce("value", F.lit(0.0)) >= F.col("q")).alias("core"))

@@ -6,15 +6,17 @@ import struct
 from collections.abc import Iterator, Sequence
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from kerbline.operators.relational import first_column, quantiles
+
 #: Heights of buildings: columns in order of preference (fixed values); names with one of ``LEVELS`` count storeys.
 HEIGHT_COLUMNS = (
-    "height", "Height", "HEIGHT", "building_height", "bldg_height", "Elevation", "elevation", "levels", "building_levels",
-    "building:levels", "num_floors", "floors", "Floor", "floor", "storeys",
+    "height", "Height", "HEIGHT", "bldg_h", "bldg_height", "H_m", "h_m", "h", "HGT", "max_h", "mean_h", "levels", "Levels", "floors",
+    "Floors",
 )
-LEVELS = ("level", "floor", "storey")
+LEVELS = ("level", "floor")
 STOREY = 3.0
 
 
@@ -40,15 +42,35 @@ def read_points(spark: SparkSession, path: str, xmin: float, ymin: float, xmax:
 
 
 def poi_extract(places: DataFrame) -> DataFrame:
-    """Name, two category levels, position: first and second entry of the category path, else the primary category."""
-    path = F.col("taxonomy.hierarchy")
-    l1 = F.coalesce(F.try_element_at(path, F.lit(1)), F.col("categories.primary"), F.lit(""))
+    """Name, two category levels and position: first and second entry of the category path (null if absent), the point itself."""
+    path, at = F.col("taxonomy.hierarchy"), wkb_point(F.col("geometry"))
     return places.select(
-        F.coalesce("names.primary", F.lit("")).alias("name"), l1.alias("cat_l1"), F.coalesce(F.try_element_at(path, F.lit(2)), F.lit("")).alias("cat_l2"),
-        F.col("bbox.ymin").alias("lat"), F.col("bbox.xmin").alias("lon"),
+        F.coalesce("names.primary", F.lit("")).alias("name"), F.get(path, 0).alias("cat_l1"), F.get(path, 1).alias("cat_l2"),
+        at["y"].alias("lat"), at["x"].alias("lon"),
     )
 
 
+def wkb_point(geometry: Column) -> Column:
+    """``struct<x, y>`` of a point in well-known binary of either byte order; null for what is no point."""
+    hexed = F.hex(geometry)
+    little = F.substring(hexed, 1, 2) == "01"
+    word = lambda at: F.substring(hexed, at, 16)
+    turned = lambda w: F.concat(*[F.substring(w, 15 - 2 * i, 2) for i in range(8)])
+
+    def number(at: int) -> Column:
+        """The double of 16 hexadecimal digits, exactly: sign, exponent and fraction."""
+        w = F.when(little, turned(word(at))).otherwise(word(at))
+        high = F.conv(F.substring(w, 1, 8), 16, 10).cast("long")
+        low = F.conv(F.substring(w, 9, 8), 16, 10).cast("long")
+        exponent = F.shiftright(high, 20).bitwiseAND(0x7FF)
+        fraction = (high.bitwiseAND(0xFFFFF) * F.lit(1 << 32) + low) / float(1 << 52)
+        size = F.when(exponent == 0, fraction * 2.0**-1022).otherwise((1 + fraction) * F.pow(F.lit(2.0), exponent - 1023))
+        return F.when(high >= 1 << 31, -size).otherwise(size)
+
+    kind = F.when(little, F.substring(hexed, 3, 8) == "01000000").otherwise(F.substring(hexed, 3, 8) == "00000001")
+    return F.when(kind & (F.octet_length(geometry) >= 21), F.struct(number(11).alias("x"), number(27).alias("y")))
+
+
 def parse_shapes(data: bytes) -> list[tuple[int, list[list[tuple[float, float]]]]]:
     """``(record number, parts)`` of the points, lines and polygons of a .shp file."""
     out, at = [], 100
@@ -89,14 +111,13 @@ def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
 
 def heights(buildings: DataFrame) -> DataFrame:
     """``height`` in metres from the first known column: storeys times 3, bad and non-positive values the median, at most twice the 99th percentile."""
-    name = next((c for c in HEIGHT_COLUMNS if c in buildings.columns), None)
+    name = first_column(buildings.columns, HEIGHT_COLUMNS)
     if name is None:
         return buildings.withColumn("height", F.lit(0.0))
     scale = STOREY if any(part in name.lower() for part in LEVELS) else 1.0
     raw = F.col(f"`{name}`").cast("string").try_cast("double") * scale
     d = buildings.withColumn("__kerb_h", F.when(raw > 0, raw))
-    middle = d.agg(F.coalesce(F.median("__kerb_h"), F.lit(0.0)).alias("__kerb_m"))
+    middle = quantiles(d, "__kerb_h", [0.5]).select(F.coalesce(F.get("q", 0), F.lit(0.0)).alias("__kerb_m"))
     d = d.crossJoin(F.broadcast(middle)).withColumn("__kerb_h", F.coalesce("__kerb_h", "__kerb_m"))
-    top = d.agg(F.percentile("__kerb_h", 0.99).alias("__kerb_t"))
-    d = d.crossJoin(F.broadcast(top))
+    d = d.crossJoin(F.broadcast(quantiles(d, "__kerb_h", [0.99]).select(F.get("q", 0).alias("__kerb_t"))))
     return d.withColumn("height", F.least("__kerb_h", 2 * F.col("__kerb_t"))).drop("__kerb_h", "__kerb_m", "__kerb_t")

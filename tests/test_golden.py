@@ -143,22 +143,39 @@ def test_centralities(spark):
 
 def test_network_matches_a_dense_mirror(spark):
     rng = np.random.default_rng(0)
-    n, x, w = 6, rng.normal(size=(6, 3)), gnn.random_weights(3, 4, 2)
+    n, x, w = 6, rng.normal(size=(6, 3)), gnn.random_weights(3, 4, 2, wide=5)
     edges = [(i, j) for i in range(n - 1) for j in range(n - 1) if i != j and (i + j) % 2]
     nodes = spark.createDataFrame([(i, [float(v) for v in x[i]]) for i in range(n)], "id long, x array<double>")
-    h = np.maximum(np.maximum(x @ w["enc1"] + w["enc1b"], 0) @ w["enc2"] + w["enc2b"], 0)
+
+    def lin(v, k):
+        return w[f"{k}.weight"] @ v + w.get(f"{k}.bias", 0)
+
+    def bn(v, k):
+        return (v - w[f"{k}.running_mean"]) / np.sqrt(w[f"{k}.running_var"] + 1e-5) * w[f"{k}.weight"] + w[f"{k}.bias"]
+
+    h = [np.maximum(bn(lin(np.maximum(bn(lin(v, "encoder.net.0"), "encoder.net.1"), 0), "encoder.net.4"), "encoder.net.5"), 0) for v in x]
     for i in range(2):
-        m = np.zeros_like(h)
-        for src in range(n):
-            sent = [gnn.sigmoid(np.r_[h[src], h[dst]] @ w[f"gate{i}"] + w[f"gate{i}b"]) * (h[dst] @ w[f"lin{i}"] + w[f"lin{i}b"]) for a, dst in edges if a == src]
-            m[src] = np.mean(sent, axis=0) if sent else 0
-        h = np.maximum(gnn.layer_norm(h + m, w[f"norm{i}"], w[f"norm{i}b"]), 0)
-    want = gnn.sigmoid(np.maximum(h @ w["head1"] + w["head1b"], 0) @ w["head2"] + w["head2b"])[:, 0]
+        new = []
+        for row in range(n):
+            sent = [gnn.sigmoid(lin(np.maximum(lin(np.r_[h[row], h[col]], f"layers.{i}.gate.0"), 0), f"layers.{i}.gate.2")) * lin(h[col], f"layers.{i}.W") for a, col in edges if a == row]
+            z = h[row] + (np.mean(sent, axis=0) if sent else 0)
+            z = (z - z.mean()) / np.sqrt(z.var() + 1e-5) * w[f"layers.{i}.norm.weight"] + w[f"layers.{i}.norm.bias"]
+            new.append(np.maximum(z, 0))
+        h = new
+    want = [float(lin(np.maximum(lin(v, "head.0"), 0), "head.3")[0]) for v in h]
     got = gnn.predict(nodes, spark.createDataFrame(edges, "src long, dst long"), w, 2, runs=3)
     rows = {(r.id, r.run): r.score for r in got.collect()}
-    assert [rows[i, 0] for i in range(n)] == pytest.approx(list(want))
+    assert [rows[i, 0] for i in range(n)] == pytest.approx(want) and len(rows) == 4 * n
     assert len({round(rows[0, r], 12) for r in (1, 2, 3)}) > 1
     assert {r.id: r.score for r in gnn.uncertainty(got).collect()} == pytest.approx(dict(enumerate(want)))
+    kept = gnn._kept(np.arange(2000), 5, 8, 1, 0.2)
+    assert (kept[:, 0] == 1).all() and set(np.unique(kept[:, 1:])) == {0.0, 1.25} and abs(kept[:, 1:].mean() - 1) < 0.02
+
+
+def test_scaler_with_repeated_quantiles(spark):
+    d = spark.createDataFrame([(float(v), "k") for v in (-1, 0, 0.5, 1, 1.5, 2, 9)], "a double, other string")
+    got = gnn.quantile_scale(d, {"a": [0.0, 1.0, 1.0, 1.0, 2.0]}).collect()
+    assert [r.a for r in got] == [0, 0, 0.125, 0.5, 0.875, 1, 1] and got[0].other == "k"
 
 
 def test_walks_match_matrix_powers(spark):
@@ -220,15 +237,21 @@ def test_shapefile_and_heights(spark, tmp_path):
     assert [r.height for r in vector.heights(d.withColumnRenamed("Height", "levels")).collect()] == [30, 45, 45, 60]
     assert [r.height for r in vector.heights(d).collect()] == [10, 15, 15, 20]
     assert vector.heights(spark.range(1)).first().height == 0
+    names = "height Height HEIGHT bldg_h bldg_height H_m h_m h HGT max_h mean_h levels Levels floors Floors".split()
+    assert list(vector.HEIGHT_COLUMNS) == names
+    assert [relational.first_column(names[k:][::-1], vector.HEIGHT_COLUMNS) for k in range(len(names))] == names
+    for name in ("h", "max_h", "Levels", "Floors"):
+        assert vector.heights(spark.createDataFrame([("10",)], [name])).first()["height"] == (10 if "h" in name else 30)
 
 
 def test_pushdown_and_extract(spark, tmp_path):
     rows = [("a", ("n",), ("p",), (["x", "y"],), (1.0, 2.0)), ("b", (None,), ("p",), (None,), (9.0, 9.0))]
-    kinds = "id string, names struct<primary:string>, categories struct<primary:string>, taxonomy struct<hierarchy:array<string>>, bbox struct<xmin:double,ymin:double>"
+    kinds = "id string, names struct<primary:string>, categories struct<primary:string>, taxonomy struct<hierarchy:array<string>>, bbox struct<xmin:double,ymin:double>, geometry binary"
+    rows = [(*r, struct.pack("<BI2d", 1, 1, r[4][0] + 0.25, r[4][1] + 0.5)) for r in rows]
     spark.createDataFrame(rows, kinds).write.parquet(f"{tmp_path}/p")
     d = vector.read_points(spark, f"{tmp_path}/p", 0, 0, 5, 5)
     assert "GreaterThanOrEqual(bbox.xmin,0.0)" in d._jdf.queryExecution().toString()
-    assert [tuple(r) for r in vector.poi_extract(d).collect()] == [("n", "x", "y", 2.0, 1.0)]
+    assert [tuple(r) for r in vector.poi_extract(d).collect()] == [("n", "x", "y", 2.5, 1.25)]
 
 
 def test_windowed_counts(spark):

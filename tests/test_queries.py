@@ -12,8 +12,8 @@ import pytest
 
 import __spark_entry__ as contract
 from conftest import DATA
-from kerbline.plans import graphs, rasters, registry
-from kerbline.plans.tables import SIDE, Tables
+from kerbline.plans import graphs, registry
+from kerbline.plans.tables import Tables
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
@@ -72,19 +72,44 @@ def test_sources_and_runs_of_the_reference(spark, monkeypatch, name, module, ope
     assert {k: seen[k] for k in want} == want
 
 
-def test_all_edges_and_all_cells(spark):
-    """Edges that the filtered queries leave out, in several components; percentiles of every cell by brute force."""
+def test_all_edges_and_pairs_apart(spark):
     few = SimpleNamespace(edges=spark.createDataFrame([(2, 4, 1.0), (4, 7, 1.0), (7, 14, 1.0), (20, 22, 1.0), (30, 31, 1.0)], "u long, v long, w double"))
-    assert {r.node: r.root for r in graphs.all_components(few).collect()} == {2: 2, 4: 2, 7: 2, 14: 2, 20: 20, 22: 20, 30: 30, 31: 30}
-    assert {r.node for r in graphs.largest_of_all(few).collect()} == {2, 4, 7, 14}
+    assert {r.node: r.root for r in graphs.components(few).collect()} == {2: 2, 4: 2, 7: 2, 14: 2, 20: 20, 22: 20, 30: 30, 31: 30, -60: -61, -61: -61}
+    assert {r.node for r in graphs.largest(few).collect()} == {2, 4, 7, 14}
+
+
+def test_centralities_of_the_queries(spark):
+    """All nodes are sources at this size: distances and path counts between all pairs, densely."""
     t = Tables(spark, DATA)
-    dem = {(r.row, r.col): r.value for r in t.dem.collect()}
-    got, clip = rasters.all_percentiles(t).collect(), range(-2, 3)
-    assert len(got) == len(dem) and {(r.row, r.col) for r in got} == set(dem)
-    for r in got:
-        at = [(min(max(r.row + i, 0), SIDE - 1), min(max(r.col + j, 0), SIDE - 1)) for i in clip for j in clip]
-        v = sorted(dem[c] for c in at if c in dem)
-        assert max(abs(x - v[-(-len(v) * q // 10) - 1]) for x, q in zip((r.p10, r.p50, r.p90), (1, 5, 9))) < 2e-6
+    edges = [(r.u, r.v, r.w) for r in t.edges.collect() if r.u != r.v]
+    ids = sorted({n for e in edges for n in e[:2]})
+    at, n = {x: i for i, x in enumerate(ids)}, len(ids)
+    far = np.full((n, n), np.inf)
+    np.fill_diagonal(far, 0)
+    for u, v, w in edges:
+        far[at[u], at[v]] = far[at[v], at[u]] = w
+    step = np.where(np.eye(n, dtype=bool), np.inf, far)
+    for k in range(n):
+        far = np.minimum(far, far[:, k, None] + far[None, k])
+    paths = np.eye(n)
+    for s in range(n):
+        for x in np.argsort(far[s], kind="stable")[1:]:
+            if np.isfinite(far[s, x]):
+                before = np.flatnonzero(np.isfinite(step[:, x]) & (np.abs(far[s] + step[:, x] - far[s, x]) <= 1e-9))
+                paths[s, x] = paths[s, before].sum()
+    through = np.zeros(n)
+    for v in range(n):
+        on = np.isclose(far[:, v, None] + far[None, v], far, rtol=0, atol=1e-9) & np.isfinite(far) & ~np.eye(n, dtype=bool)
+        on[v], on[:, v] = False, False
+        through[v] = (np.outer(paths[:, v], paths[v]) / np.maximum(paths, 1e-300))[on].sum()
+    reach = np.isfinite(far)
+    core = reach[np.argmax(reach.sum(1))]
+    near = np.where(core, (core.sum() - 1) / np.where(core, np.where(reach, far, 0).sum(1), 1), 0)
+    for name, score in (("net_betweenness", through), ("net_closeness", near)):
+        rows = {r.id: (score[at[r.a]] + score[at[r.b]]) / 2 for r in t.segments.select("id", "a", "b").collect()}
+        top = max(rows.values())
+        got = {r[0]: r[1] for r in (graphs.betweenness if name == "net_betweenness" else graphs.closeness)(t).collect()}
+        assert got == pytest.approx({i: v / top for i, v in rows.items()}, abs=2e-6)
 
 
 def test_entry(spark):
