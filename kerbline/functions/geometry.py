@@ -157,6 +157,14 @@ def line_within(coords: Column, rings: Column) -> Column:
     return F.forall(coords, lambda c: in_polygon(c["x"], c["y"], rings)) & ~crossing
 
 
+def polygons_meet(a: Column, b: Column) -> Column:
+    """Whether two polygons share a point: crossing edges, or a vertex of one inside the other."""
+    edges = lambda rings: F.flatten(F.transform(rings, legs))
+    crossing = F.exists(edges(a), lambda p: F.exists(edges(b), lambda q: legs_cross(p, q)))
+    inside = lambda x, y: F.exists(F.flatten(x), lambda c: in_polygon(c["x"], c["y"], y))
+    return crossing | inside(a, b) | inside(b, a)
+
+
 def polygon_distance(x: Column, y: Column, rings: Column) -> Column:
     """0 inside, else the distance to the nearest edge."""
     return F.when(in_polygon(x, y, rings), F.lit(0.0)).otherwise(boundary_distance(x, y, rings))

@@ -181,6 +181,33 @@ def sample3(segments: DataFrame, cells: DataFrame, affine: tuple[float, float, f
     return sample(segments.select("id", F.inline(three)), cells, affine).groupBy("id").agg(F.avg("value").alias("value"))
 
 
+def common_grid(tiles: list[tuple[tuple[float, float, float, float], int, int]]) -> tuple[tuple[float, float, float, float], int, int, list[tuple[int, int]]]:
+    """Affine, height and width of the grid that holds all tiles ``(affine, height, width)``, and each one's shift in rows and columns."""
+    a, _, e, _ = tiles[0][0]
+    if any(abs(t[0][0] - a) > 1e-6 * abs(a) or abs(t[0][2] - e) > 1e-6 * abs(e) for t in tiles):
+        raise ValueError("tiles of unlike resolution")
+    c, f = min(t[0][1] for t in tiles), max(t[0][3] for t in tiles)
+    shifts = [(round((t[0][3] - f) / e), round((t[0][1] - c) / a)) for t in tiles]
+    height, width = (max(s[k] + t[1 + k] for s, t in zip(shifts, tiles)) for k in (0, 1))
+    return (a, c, e, f), height, width, shifts
+
+
+def share_boxes(boxes: DataFrame, dst: tuple[float, float, float, float], height: int, width: int) -> DataFrame:
+    """``boxes(x0, y0, x1, y1, value)`` shared out to the cells of a grid by overlap area, so that sums are kept."""
+    a, c, e, f = dst
+    step = abs(e)
+    at = lambda v, o, s: F.floor((v - o) / s)
+    ends = {"c0": at(F.col("x0"), c, a), "c1": at(F.col("x1"), c, a), "r0": at(f - F.col("y1"), 0.0, step), "r1": at(f - F.col("y0"), 0.0, step)}
+    wide = boxes.where("value is not null").withColumns(ends)
+    out = wide.withColumn("col", F.explode(F.sequence("c0", "c1"))).withColumn("row", F.explode(F.sequence("r0", "r1")))
+    left, top = c + F.col("col") * a, f - F.col("row") * step
+    zero = F.lit(0.0)
+    across = F.greatest(zero, F.least(F.col("x1"), left + a) - F.greatest(F.col("x0"), left)) / (F.col("x1") - F.col("x0"))
+    down = F.greatest(zero, F.least(F.col("y1"), top) - F.greatest(F.col("y0"), top - step)) / (F.col("y1") - F.col("y0"))
+    out = out.where(F.col("row").between(0, height - 1) & F.col("col").between(0, width - 1))
+    return out.groupBy(F.col("row").cast("int").alias("row"), F.col("col").cast("int").alias("col")).agg(F.sum(F.col("value") * across * down).alias("value"))
+
+
 def mosaic(tiles: DataFrame) -> DataFrame:
     """``tiles(tile, row, col, value)``: the first tile with a value wins each cell."""
     first = tiles.where("value is not null").groupBy("row", "col").agg(F.min(F.struct("tile", "value")).alias("b"))

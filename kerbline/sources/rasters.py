@@ -29,6 +29,7 @@ class Band:
     values: np.ndarray
     affine: tuple[float, float, float, float]
     nodata: float
+    degrees: bool = False
 
 
 def _tags(data: bytes) -> tuple[dict[int, tuple], str]:
@@ -70,7 +71,9 @@ def read_tiff(data: bytes) -> Band:
         out[r * tall : r * tall + len(part), c * wide : (c + 1) * wide] = part
     scale, tie = tags.get(33550, (1.0, 1.0, 0.0)), tags.get(33922, (0.0,) * 6)
     affine = (scale[0], tie[3] - tie[0] * scale[0], -scale[1], tie[4] + tie[1] * scale[1])
-    return Band(out[:height, :width], affine, float(tags[42113][0]) if 42113 in tags else NODATA)
+    keys = tags.get(34735, ())
+    degrees = any(keys[i] == 1024 and keys[i + 3] == 2 for i in range(4, len(keys) - 3, 4))  # the model is geographic
+    return Band(out[:height, :width], affine, float(tags[42113][0]) if 42113 in tags else NODATA, degrees)
 
 
 def write_tiff(band: Band) -> bytes:
@@ -80,9 +83,10 @@ def write_tiff(band: Band) -> bytes:
     height, width = band.values.shape
     text = repr(float(band.nodata)).encode() + b"\0"
     text += b"\0" * (8 - len(text) % 8)
+    model = [(34735, 3, (1, 1, 0, 1, 1024, 0, 1, 2 if band.degrees else 1))]
     entries = [
         (256, 4, (width,)), (257, 4, (height,)), (258, 3, (64,)), (259, 3, (1,)), (262, 3, (1,)), (273, 4, (8,)), (277, 3, (1,)), (278, 4, (height,)),
-        (279, 4, (len(body),)), (339, 3, (3,)), (33550, 12, (a, -e, 0.0)), (33922, 12, (0.0, 0.0, 0.0, c, f, 0.0)), (42113, 2, text),
+        (279, 4, (len(body),)), (339, 3, (3,)), (33550, 12, (a, -e, 0.0)), (33922, 12, (0.0, 0.0, 0.0, c, f, 0.0)), *model, (42113, 2, text),
     ]
     at = 8 + len(body)
     extra_at = at + 2 + 12 * len(entries) + 4
@@ -95,22 +99,22 @@ def write_tiff(band: Band) -> bytes:
     return b"II" + struct.pack("<HI", 42, at) + body + head + struct.pack("<I", 0) + extra
 
 
-def read_meta(spark: SparkSession, path: str) -> list[tuple[str, tuple[float, float, float, float], int, int, float]]:
-    """``(file, affine, height, width, nodata)`` of each file, in order of name; an empty glob is an error."""
+def read_meta(spark: SparkSession, path: str) -> list[tuple[str, tuple[float, float, float, float], int, int, float, bool]]:
+    """``(file, affine, height, width, nodata, degrees)`` of each file, in order of name; an empty glob is an error."""
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:
             rows = []
             for name, content in zip(frame["path"], frame["content"]):
                 band = read_tiff(content)
-                rows.append((name, list(band.affine), *band.values.shape, band.nodata))
-            yield pd.DataFrame(rows, columns=["path", "affine", "height", "width", "nodata"])
+                rows.append((name, list(band.affine), *band.values.shape, band.nodata, band.degrees))
+            yield pd.DataFrame(rows, columns=["path", "affine", "height", "width", "nodata", "degrees"])
 
     files = spark.read.format("binaryFile").load(path).select("path", "content")
-    found = files.mapInPandas(run, "path string, affine array<double>, height int, width int, nodata double").orderBy("path").collect()
+    found = files.mapInPandas(run, "path string, affine array<double>, height int, width int, nodata double, degrees boolean").orderBy("path").collect()
     if not found:
         raise FileNotFoundError(path)
-    return [(r.path, tuple(r.affine), r.height, r.width, r.nodata) for r in found]
+    return [(r.path, tuple(r.affine), r.height, r.width, r.nodata, r.degrees) for r in found]
 
 
 def read_cells(spark: SparkSession, path: str, block: int = 256) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import json
 import struct
 from collections.abc import Iterator, Sequence
 
@@ -29,6 +30,21 @@ def read_geojson(spark: SparkSession, path: str, properties: str) -> DataFrame:
     return d.select("properties.*", coords.alias("coords"))
 
 
+def read_boundary(spark: SparkSession, path: str) -> list[list[tuple[float, float]]]:
+    """The rings of the polygons of a GeoJSON file, which should not overlap; one boundary fits the driver by nature."""
+    geometry = "struct<type: string, coordinates: string>"
+    raw = spark.read.option("multiLine", True).schema(f"features array<struct<geometry: {geometry}>>").json(path)
+    rows = raw.select(F.inline("features")).select("geometry.type", "geometry.coordinates").collect()
+    rings = []
+    for kind, text in rows:
+        if kind in ("Polygon", "MultiPolygon"):
+            polygons = [json.loads(text)] if kind == "Polygon" else json.loads(text)
+            rings += [[(float(c[0]), float(c[1])) for c in ring] for polygon in polygons for ring in polygon]
+    if not rings:
+        raise ValueError(f"no polygon in {path}")
+    return rings
+
+
 def read_csv_tables(spark: SparkSession, paths: Sequence[str], key: str = "id") -> list[DataFrame]:
     """The CSV tables that have the key column, in order of path; a byte-order mark is skipped by the reader."""
     tables = [spark.read.csv(p, header=True, inferSchema=True) for p in sorted(paths)]
@@ -109,6 +125,45 @@ def read_shapefiles(spark: SparkSession, path: str) -> DataFrame:
     return files.mapInPandas(run, "path string, record int, rings array<array<struct<x:double,y:double>>>")
 
 
+def parse_attributes(data: bytes) -> list[dict[str, str | None]]:
+    """The records of a .dbf file as text, in order; null for blanks."""
+    n, head, size = struct.unpack("<IHH", data[4:12])
+    fields, at = [], 32
+    while at < head - 1 and data[at] != 0x0D:
+        fields.append((data[at : at + 11].split(b"\0")[0].decode("latin-1"), data[at + 16]))
+        at += 32
+    out = []
+    for i in range(n):
+        record, at, row = data[head + i * size : head + (i + 1) * size], 1, {}
+        for name, width in fields:
+            text = record[at : at + width].strip(b" \0")
+            row[name] = text.decode("utf-8", errors="replace") if text else None
+            at += width
+        out.append(row)
+    return out
+
+
+def read_attributes(spark: SparkSession, path: str) -> DataFrame:
+    """``(path, record, fields map<string, string>)`` of all .dbf files under a glob; ``path`` has the shapes' ending."""
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            for name, content in zip(frame["path"], frame["content"]):
+                rows = [(name[:-3] + "shp", i + 1, list(r.items())) for i, r in enumerate(parse_attributes(content))]
+                yield pd.DataFrame(rows, columns=["path", "record", "fields"])
+
+    files = spark.read.format("binaryFile").load(path).select("path", "content")
+    rows = files.mapInPandas(run, "path string, record int, fields array<struct<k:string,v:string>>")
+    return rows.withColumn("fields", F.map_from_entries("fields"))
+
+
+def with_heights(shapes: DataFrame) -> DataFrame:
+    """``shapes(.., fields)`` with ``height``: the first known column that any file has, 0 without one."""
+    names = [r[0] for r in shapes.select(F.explode(F.map_keys("fields"))).distinct().collect()]  # columns of the files
+    name = first_column(names, HEIGHT_COLUMNS)
+    return heights(shapes if name is None else shapes.withColumn(name, F.try_element_at("fields", F.lit(name))))
+
+
 def heights(buildings: DataFrame) -> DataFrame:
     """``height`` in metres from the first known column: storeys times 3, bad and non-positive values the median, at most twice the 99th percentile."""
     name = first_column(buildings.columns, HEIGHT_COLUMNS)
