@@ -2,9 +2,12 @@
 
 A document is the sequence of its lines that hold a word. A line goes if it lies in a run of ``window`` consecutive
 lines that also starts earlier (smaller id, then text key, then position), or if it alone has ``solo_chars``
-characters or more and also stands earlier. Every window (and long
-single line) is posted with a 128-bit hash of its content; window minima only drop, before the grouping, windows that
-cannot have an equal. Nothing is extended: equal windows meet by their hash. Only what the earlier occurrence confirms is deleted.
+characters or more and also stands earlier. Winnowing finds them: of each window of lines the least line hash is selected, and
+each selected line is posted once, so two equal runs of ``window`` lines share a posting. A posting carries what it extends
+to: 128-bit hashes of the windows that selected it, from the one that ends with it to the one that starts with it. Postings
+are joined on the selected hash; those with a partner are extended both ways, and a window is confirmed by the earliest equal
+one. Runs are the union of confirmed windows. Hashes stand for contents: two unequal windows are taken as equal with a
+chance of 2^-128 a pair.
 """
 
 from __future__ import annotations
@@ -36,21 +39,27 @@ def removed_lines(docs: DataFrame, id_col: str, text_col: str, window: int, solo
     line = F.transform(_full_lines(text), lambda x: F.struct(_hashes(x).alias("h"), (F.length(x) >= solo_chars).alias("solo")))
     rows = docs.select(F.col(id_col).cast("long").alias("id"), row_key(text).alias("key"), line.alias("a"))
     rows = rows.select("id", "key", "a", F.transform("a", lambda x: x["h"]).alias("hs"), F.size("a").alias("n"))
-    minimum = lambda i: F.array_min(
-        F.transform(F.slice("hs", i + 1, w), lambda h, j: F.struct(h["a"].alias("h"), (i + j).alias("at")))
-    )["h"]
     starts = F.when(F.col("n") >= w, F.sequence(F.lit(0), F.col("n") - w)).otherwise(F.array().cast("array<int>"))
-    # One posting for each window under the line that it selects, and one for each long line.
-    post = lambda f, start, length: F.struct(
-        f.alias("f"), _hashes(F.lit(length), F.slice("hs", start + 1, length)).alias("gram"), start.cast("int").alias("start"), F.lit(length).alias("length")
+    chosen = lambda i: F.array_min(
+        F.transform(F.slice("hs", i + 1, w), lambda h, j: F.struct(h["a"].alias("h"), (i + j).alias("at")))
+    )
+    rows = rows.withColumn("chosen", F.transform(starts, chosen))
+    extent = lambda start, length: F.struct(
+        _hashes(F.lit(length), F.slice("hs", start + 1, length)).alias("gram"), start.cast("int").alias("start"), F.lit(length).alias("length")
+    )
+    # A selected line is chosen by neighbouring windows; the first of them posts it with all of them.
+    heads = F.filter(starts, lambda i: (i == 0) | (F.get("chosen", i)["at"] != F.get("chosen", i - 1)["at"]))
+    mine = lambda i: F.filter(
+        F.sequence(i, F.least(i + (w - 1), F.col("n") - w)), lambda j: F.get("chosen", j)["at"] == F.get("chosen", i)["at"]
     )
-    grams = F.transform(starts, lambda i: post(minimum(i), i, w))
-    solos = F.filter(F.transform("a", lambda x, i: F.struct(x["solo"].alias("solo"), post(x["h"]["a"], i, 1).alias("p"))), lambda x: x["solo"])
-    posted = rows.select("id", "key", F.explode(F.concat(grams, F.transform(solos, lambda x: x["p"]))).alias("p"))
-    posted = materialize(posted.select("id", "key", "p.f", "p.gram.a", "p.gram.b", "p.start", "p.length"), "postings")
+    selected = F.transform(heads, lambda i: F.struct(F.get("chosen", i)["h"].alias("f"), F.transform(mine(i), lambda j: extent(j, w)).alias("windows")))
+    solos = F.filter(F.transform("a", lambda x, i: F.struct(x["solo"].alias("solo"), x["h"]["a"].alias("f"), F.array(extent(i, 1)).alias("windows"))), lambda x: x["solo"])
+    solos = F.transform(solos, lambda x: F.struct(x["f"].alias("f"), x["windows"].alias("windows")))
+    posted = materialize(rows.select("id", "key", F.inline(F.concat(selected, solos))), "postings")
     # What is joined is read back first: a join straight after a grouping could not split a crowded key.
     shared = materialize(posted.groupBy("f").agg(F.count("*").alias("n")).where("n > 1").select("f"), "shared")
-    met = materialize(posted.join(shared, "f", "left_semi").drop("f"), "met")
+    met = posted.join(shared, "f", "left_semi").select("id", "key", F.inline("windows"))
+    met = materialize(met.select("id", "key", "gram.a", "gram.b", "start", "length"), "met")
     drop(posted)
     place = F.struct(F.col("id").isNotNull().alias("known"), "id", "key", "start")
     first = met.groupBy("a", "b").agg(F.min(place).alias("first"), F.count("*").alias("n")).where("n > 1").drop("n")
