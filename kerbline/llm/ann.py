@@ -25,8 +25,8 @@ from kerbline.runtime import materialize
 SAMPLE = 20_000
 #: Entries of a bucket, and queries that are compared with them at once.
 BLOCK, QUERY_BLOCK = 4096, 256
-#: Recall that ``reach`` is chosen for, on this many queries of the sample; vectors that it holds at least.
-RECALL, TRIALS, LEAST = 0.96, 200, 2000
+#: Recall that ``reach`` is chosen for, on this many queries of the sample.
+RECALL, TRIALS = 0.96, 200
 #: Deals cells over buckets; tasks that buckets are dealt over at most.
 SPREAD, MOST_TASKS = 2_654_435_761, 8192
 
@@ -85,7 +85,7 @@ def choose_reach(sample: np.ndarray, half: int, books: tuple[np.ndarray, np.ndar
         needed += [before[c] for c in true]
     needed = np.sort(needed)
     share = (needed[min(len(needed) - 1, int(RECALL * len(needed)))] + 1) / len(sample)
-    return max(LEAST, int(np.ceil(share * 1.02 * total)))
+    return max(4 * k, int(np.ceil(share * 1.02 * total)))
 
 
 def usable(vectors: DataFrame, id_col: str, vec_col: str, length: int | None = None) -> DataFrame:
@@ -107,8 +107,8 @@ def search(
 ) -> DataFrame:
     """``(query_id, rank, vec_id, score)``: the k nearest found of every query row, its own row excluded, ties to smaller ids.
 
-    ``queries`` has the columns of ``vectors``. Vectors that are null, zero, not finite or of another length than most take
-    no part, nor do null ids. Rows with a query's id are its own. Fewer candidates than k are all returned.
+    ``queries`` has the columns of ``vectors``. Vectors that are null, zero, not finite or of another length than most (there is no
+    distance between lengths) take no part, nor do null ids. Rows with a query's id are its own. Fewer candidates than k are all returned.
     """
     spark = vectors.sparkSession
     rows = materialize(usable(vectors, id_col, vec_col), "vectors")
