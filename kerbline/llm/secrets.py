@@ -4,8 +4,8 @@ A candidate is a run of at least ``SHORTEST`` characters that secrets are made o
 The network reads all of it, in overlapping windows between the characters around them; the best score counts. It is trained here, in numpy, on at most
 ``SAMPLE`` labelled findings: base findings of the corpus are positive, candidates outside them negative, and each
 negative context also lends itself to a generated secret (positive) so that alphabets which the base patterns do not know
-are learned. A quarter is held out; scores are calibrated on it (Platt's scaling), and the threshold has the best precision
-of those that find at least ``RECALL`` of its positives.
+are learned. A quarter is held out and scores are calibrated on it (Platt's scaling). Every threshold up to the highest that finds
+``RECALL`` of its positives keeps that recall; the one taken lies half way, in odds, between it and the negatives.
 """
 
 from __future__ import annotations
@@ -55,6 +55,12 @@ def window(text: str, start: int, end: int) -> str:
     return before + text[start : min(end, start + WITHIN)].ljust(WITHIN, "\0") + text[end : end + AFTER].ljust(AFTER, "\0")
 
 
+def _value(text: str, start: int, kind: str) -> int:
+    """Where the secret itself starts: what a scan would see as the candidate after its keyword."""
+    pattern, _, group = BASE[kind]
+    return pattern.match(text, start).start(group) if group else start
+
+
 def candidates(text: str, base: list[tuple[int, int, str]]) -> list[tuple[int, int, str]]:
     """``(start, end, window)`` of the candidates outside base spans; a long one has windows from its start to its end."""
     out, k = [], 0
@@ -208,7 +214,7 @@ def _scan(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
             for text in batch.column(1):
                 text = text.as_py() or ""
                 found = base_spans(text)
-                base.append([(a, b, k, window(text, a, b)) for a, b, k in found])
+                base.append([(a, b, k, window(text, _value(text, a, k), b)) for a, b, k in found])
                 more.append([(a, b, "model", w) for a, b, w in candidates(text, found)])
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(base, item), pa.array(more, item)], ["doc_id", "base", "more"])
 
