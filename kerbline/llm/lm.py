@@ -2,13 +2,16 @@
 
 The lattice model draws pieces of an existing subword vocabulary independently; a word is its characters after the mark
 of a word's start, and its probability is the sum over all ways to cut it into pieces, by the forward recursion in log
-space. The pieces are the vocabulary's; its scores are merge ranks, so the pieces' probabilities are learned from the
-training documents, whose words the vocabulary's own segmenter cuts (half a count is added to each piece). Pieces never
-span words, so a text's log probability is the sum over its words and one end. Both scores of a word are computed once
-for every distinct word of the corpus.
-
-The ``HEAD`` most frequent words (of at most ``HEAD_BYTES`` bytes) travel to every worker: their number is fixed, so is
-the size of what is broadcast. All other words are joined to their scores.
+space. The pieces are the vocabulary's. Its scores are merge ranks and no log probabilities, so they weigh as a Zipf prior of
+half a count a piece, to which the counts of the training documents, cut by the vocabulary's own segmenter, are added. A
+word of the training documents is also a piece as a whole: with N tokens, T of them distinct and c occurrences of the word,
+its probability is (c + T * lattice) / (N + T), after Witten and Bell, so the lattice holds the mass of new words. Pieces
+never span words, so a text's log probability is the sum over its words and one end. Both scores of a word are computed
+once for every distinct word of the corpus.
+
+The ``HEAD`` most frequent words (of at most ``HEAD_BYTES`` bytes) and the ``LONG`` most frequent longer ones (of at most
+``LONG_BYTES``) travel to every worker: their number is fixed, so is the size of what is broadcast. All other words are
+joined to their scores.
 """
 
 from __future__ import annotations
@@ -27,6 +30,7 @@ from pyspark.sql import functions as F
 from kerbline.runtime import materialize
 
 HEAD, HEAD_BYTES = 150_000, 64
+LONG, LONG_BYTES = 100, 1 << 16
 #: Distinct words that a task counts before it passes them on.
 FLUSH = 200_000
 START = "▁"
@@ -105,8 +109,11 @@ class Lattice:
         total = math.log(sum(used.values()) + ends + 0.5 * (size + 1))
         self.pieces: dict[str, float] = {}
         self.bytes = [0.0] * 256
+        # The best piece has the greatest score; bytes have none and come last.
+        rank = [size if model.is_byte(i) else max(0.0, -model.get_score(i)) for i in range(size)]
+        weigh = 0.5 * size / sum(1 / (r + 2.7) for r in rank)
         for i in range(size):
-            p = math.log(used.get(i, 0) + 0.5) - total
+            p = math.log(used.get(i, 0) + weigh / (rank[i] + 2.7)) - total
             if model.is_byte(i):
                 self.bytes[int(model.id_to_piece(i)[1:-1], 16)] = p
             elif not (model.is_control(i) or model.is_unknown(i)):
@@ -130,14 +137,23 @@ class Lattice:
         return alpha[-1]
 
 
-def score_words(words: DataFrame, lattice: Lattice) -> DataFrame:
-    """``words`` with ``lattice``, the log10 probability of each."""
+def blend(c: np.ndarray, log_lattice: np.ndarray, n: int, v: int) -> np.ndarray:
+    """Log probabilities of tokens seen ``c`` times among ``n`` of which ``v`` are distinct; the lattice's alone without training."""
+    if not n:
+        return log_lattice
+    seen = np.log(np.maximum(c, 1e-300))
+    return np.where(c > 0, np.logaddexp(seen, math.log(v) + log_lattice), math.log(v) + log_lattice) - math.log(n + v)
+
+
+def score_words(words: DataFrame, lattice: Lattice, n: int, v: int) -> DataFrame:
+    """``words`` with ``lattice``, the model's log10 probability of each."""
     shared = words.sparkSession.sparkContext.broadcast(lattice)  # as large as the vocabulary
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         of, scale = shared.value.word, 1 / math.log(10)
         for b in batches:
-            got = [of(w.decode(errors="replace")) * scale for w in b.column(0).to_pylist()]
+            got = np.array([of(w.decode(errors="replace")) for w in b.column(0).to_pylist()], float)
+            got = blend(b.column(1).to_numpy().astype(float), got, n, v) * scale
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(got, pa.float64())], ["word", "c", "n", "lattice"])
 
     return words.select("word", "c", "n").mapInArrow(run, "word binary, c long, n long, lattice double")
@@ -156,20 +172,22 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", path:
     n_words, v = counted.agg(F.coalesce(F.sum("c"), F.lit(0)), F.count_if(F.col("c") > 0)).first()
     n, v = n_words + ends, v + (ends > 0)
     lattice = Lattice(path, count_pieces(counted, path), ends)
-    scored = materialize(score_words(counted, lattice), "scored")
+    scored = materialize(score_words(counted, lattice, n, v), "scored")
 
     def base(c: Column) -> Column:
         return F.log10((c + 0.5) / (n + 0.5 * (v + 1)))
 
     scored = scored.withColumn("base", base(F.col("c")))
-    head = scored.where(F.length("word") <= HEAD_BYTES).orderBy(F.desc("n"), "word").limit(HEAD).select("word", "c", "base", "lattice").toArrow()
+    bands = ((0, HEAD_BYTES, HEAD), (HEAD_BYTES, LONG_BYTES, LONG))
+    picked = [scored.where((F.length("word") > a) & (F.length("word") <= b)).orderBy(F.desc("n"), "word").limit(k) for a, b, k in bands]
+    head = picked[0].unionByName(picked[1]).select("word", "c", "base", "lattice").toArrow()
     table = (
         head.column("word").to_pylist(),
         *(np.append(head.column(k).to_numpy(), 0) for k in ("c", "base", "lattice")),
     )  # the last entry stands for every other word
     shared = spark.sparkContext.broadcast(table)
     end_base = math.log10((ends + 0.5) / (n + 0.5 * (v + 1)))
-    end_score = lattice.end / math.log(10)
+    end_score = float(blend(np.array([float(ends)]), np.array([lattice.end]), n, v)[0]) / math.log(10)
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, held_out boolean, row long, n_tokens long, n_known long, base_score double, score double, rest array<binary>"
 

@@ -216,7 +216,7 @@ def test_nearest(spark):
     rows = [(i, [float(v) for v in x[i]], i) for i in range(300)]
     odd = [(1000, None, 0), (1001, [0.0] * 8, 0), (1002, [float("nan")] + [1.0] * 7, 0), (1003, [None] + [1.0] * 7, 0), (1004, [1.0], 0), (None, [1.0] * 8, 0), (1005, [], 0)]
     d = spark.createDataFrame(rows + odd + rows[:1], "vec_id long, embedding array<float>, rank int").repartition(3)
-    got = ann.search(d, d.where("vec_id % 50 = 0"), 10).collect()
+    got = ann.search(d, d.where("vec_id % 50 = 0"), 10, reach=10**6).collect()
     want = ann.brute_force(x.astype(float), np.arange(300), 10, np.arange(0, 300, 50))
     assert {q: [r.vec_id for r in sorted(got, key=lambda r: r["rank"]) if r.query_id == q] for q in want} == want
     for r in got:
@@ -578,6 +578,29 @@ def test_scores(docs, empty, monkeypatch):
     assert lm.score(empty).count() == 0
 
 
+def test_scores_of_documents(docs, monkeypatch):
+    """Each token's probability from its counts and the lattice, document by document."""
+    monkeypatch.setattr(lm, "HEAD", 20)
+    monkeypatch.setattr(lm, "LONG", 1)
+    rows = [*corpus(), (900, "long " + "y" * 70 + " " + "z" * 70_000), (901, "y" * 70), (902, "z" * 70_000)]
+    d = docs.sparkSession.createDataFrame([(r[0], r[1]) for r in rows], "doc_id long, text string").repartition(3)
+    train = Counter()
+    for r in rows:
+        if not (r[0] is not None and lm.is_held_out(r[0])):
+            train.update([*split(low(r[1])), None])
+    n, v, path = sum(train.values()), len(train), lm.default_vocabulary()
+    used = lm.count_pieces(lm.count_words(d, "text", lm.held_out(F.col("doc_id"))), path)
+    lattice = lm.Lattice(path, used, train[None])
+
+    def chance(t):
+        under = lattice.end if t is None else lattice.word(t)
+        return (math.log(train[t] + v * math.exp(under)) if train[t] or under > -600 else math.log(v) + under) - math.log(n + v)
+
+    want = sorted((str(r[0]), sum(chance(t) for t in [*split(low(r[1])), None]) / math.log(10)) for r in rows)
+    got = sorted((str(r.doc_id), r.score) for r in lm.score(d).collect())
+    assert [a for a, _ in got] == [a for a, _ in want] and [b for _, b in got] == pytest.approx([b for _, b in want])
+
+
 def test_lattice_is_the_sum_over_all_cuts(docs):
     path = lm.default_vocabulary()
     words = lm.count_words(docs, "text", F.lit(False))
