@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import functools
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import geometry as g
 from kerbline.functions import scalar as s
 from kerbline.operators import gridjoin
+from kerbline.operators.rangesums import one_leg, range_sums
 from kerbline.operators.relational import complete
 from kerbline.plans.registry import query
 from kerbline.plans.tables import EVENT_TYPES, Tables
@@ -40,10 +42,9 @@ def seg_length() -> Column:
 def poi_density(segments: DataFrame, pois: DataFrame, vocabulary: tuple[str, ...], category: str = "cat_l1", r: float = 200.0) -> DataFrame:
     """Points of each category, and of all others, per hectare within r of a segment; 0 where there are none."""
     kept = s.vocabulary_code(F.col(category), vocabulary).alias("code")
-    pairs = gridjoin.range_join(segments, pois.select("px", "py", kept), r)
     names = [*vocabulary, "other"]
-    # Counts by category in one pass: the group is complete after one shuffle on id, with partial counts before it.
-    counts = pairs.groupBy("id").agg(*[F.count_if(F.col("code") == i).alias(f"n_{v}") for i, v in enumerate(names)])
+    sums = range_sums(segments.select("id", one_leg().alias("legs")), pois.select("px", "py", kept), [r], codes={"code": len(names)})
+    counts = sums.select("id", *[F.col(f"code_{i}_{r:g}").alias(f"n_{v}") for i, v in enumerate(names)])
     base = segments.select("id", g.buffer_area(seg_length(), r, 1e4).alias("ha"))
     full = complete(base, counts, "id", {f"n_{v}": 0 for v in names})
     return full.select("id", *[R6(F.col(f"n_{v}") / F.col("ha"), f"poi_{v}_buf{int(r)}_density") for v in names])
@@ -61,7 +62,11 @@ def jn10(t: Tables) -> DataFrame:
 
 @query("agg6_poi_pivot", f"SELECT id, cat_l1, count(*) AS n FROM ({pairs_sql('pois', 200)}) GROUP BY id, cat_l1")
 def poi_counts(t: Tables) -> DataFrame:
-    return gridjoin.range_join(t.segments, t.pois.select("px", "py", "cat_l1"), 200).groupBy("id", "cat_l1").agg(F.count("*").alias("n"))
+    """Counts by category as rows; a category outside the vocabulary would be its own, which these tables have none of."""
+    code = s.vocabulary_code(F.col("cat_l1"), EVENT_TYPES).alias("code")
+    sums = range_sums(t.segments.select("id", one_leg().alias("legs")), t.pois.select("px", "py", code), [200], codes={"code": len(EVENT_TYPES) + 1})
+    each = F.array(*[F.struct(F.lit(v).alias("cat_l1"), F.col(f"code_{i}_200").cast("long").alias("n")) for i, v in enumerate(EVENT_TYPES)])
+    return sums.select("id", F.inline(each)).where("n > 0")
 
 
 _NODE_POINTS = """(SELECT node, degree, x AS px, y AS py FROM nodes JOIN (SELECT key, (min({'side': side, 'id': id, 'x': x, 'y': y})).x AS x,
@@ -90,10 +95,10 @@ def node_points(t: Tables) -> DataFrame:
 )
 def intersections(t: Tables) -> DataFrame:
     """All radii from one join at the widest."""
-    pairs = gridjoin.range_join(t.segments, node_points(t).select("px", "py", "degree"), 500)
-    within = lambda r, more: F.count_if((F.col("d2") <= r * r) & more)
-    aggs = [a for r in RADII for a in (within(r, F.lit(True)).alias(f"n{r}"), within(r, F.col("degree") >= 3).alias(f"i{r}"), within(r, F.col("degree") == 1).alias(f"e{r}"))]
-    counts = pairs.groupBy("id").agg(*aggs)
+    flag = lambda test, n: test.cast("double").alias(n)
+    points = node_points(t).select("px", "py", F.lit(1.0).alias("n"), flag(F.col("degree") >= 3, "i"), flag(F.col("degree") == 1, "e"))
+    sums = range_sums(t.segments.select("id", one_leg().alias("legs")), points, RADII, values="nie")
+    counts = sums.select("id", *[F.col(f"{k}_{r}").alias(f"{k}{r}") for r in RADII for k in "nie"])
     base = t.segments.select("id", seg_length().alias("len"))
     full = complete(base, counts, "id", {f"{k}{r}": 0 for k in "nie" for r in RADII})
     out = []
@@ -114,27 +119,26 @@ def mids(t: Tables) -> DataFrame:
 
 @query(
     "jn8_road_density",
-    f"""SELECT s.id, {", ".join(f"round(coalesce(l{r}, 0) / 1000 / ((pi() * {r * r} + 2 * {r} * {_LEN}) / 1000000), 6) AS net_road_buf{r}_density" for r in (50, 200))}
-        FROM segments s LEFT JOIN (SELECT id, {", ".join(f"sum(len) FILTER (d2 <= {r * r}) AS l{r}" for r in (50, 200))} FROM ({pairs_sql(_MIDS, 200)}) GROUP BY id) USING (id)""",
+    f"""SELECT s.id, {", ".join(f"round(coalesce(l{r}, 0) / 1000 / ((pi() * {r * r} + 2 * {r} * {_LEN}) / 1000000), 6) AS net_road_buf{r}_density" for r in RADII)}
+        FROM segments s LEFT JOIN (SELECT id, {", ".join(f"sum(len) FILTER (d2 <= {r * r}) AS l{r}" for r in RADII)} FROM ({pairs_sql(_MIDS, 500)}) GROUP BY id) USING (id)""",
 )
 def road_density(t: Tables) -> DataFrame:
     """Whole length of the segments whose midpoint is near, the segment's own included."""
-    pairs = gridjoin.range_join(t.segments, mids(t).select("px", "py", "len"), 200)
-    near = pairs.groupBy("id").agg(*[F.sum(F.when(F.col("d2") <= r * r, F.col("len"))).alias(f"l{r}") for r in (50, 200)])
-    full = complete(t.segments.select("id", seg_length().alias("len")), near, "id", {f"l{r}": 0.0 for r in (50, 200)})
-    return full.select("id", *[R6(F.col(f"l{r}") / 1000 / g.buffer_area(F.col("len"), r, 1e6), f"net_road_buf{r}_density") for r in (50, 200)])
+    sums = range_sums(t.segments.select("id", one_leg().alias("legs")), mids(t).select("px", "py", F.col("len").alias("l")), RADII, values=["l"])
+    near = sums.select("id", *[F.col(f"l_{r}").alias(f"l{r}") for r in RADII])
+    full = complete(t.segments.select("id", seg_length().alias("len")), near, "id", {f"l{r}": 0.0 for r in RADII})
+    return full.select("id", *[R6(F.col(f"l{r}") / 1000 / g.buffer_area(F.col("len"), r, 1e6), f"net_road_buf{r}_density") for r in RADII])
 
 
 @query(
     "jn8_orientation_entropy",
     f"""SELECT s.id, round(coalesce(e, 0.0), 6) AS net_orientation_buf500_entropy FROM segments s LEFT JOIN (SELECT id, -sum(p * ln(p)) AS e FROM
-        (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM (SELECT id, bin, CAST(count(*) AS DOUBLE) AS n FROM ({pairs_sql(_MIDS, 200)}) GROUP BY id, bin)) GROUP BY id) USING (id)""",
+        (SELECT id, n / sum(n) OVER (PARTITION BY id) AS p FROM (SELECT id, bin, CAST(count(*) AS DOUBLE) AS n FROM ({pairs_sql(_MIDS, 500)}) GROUP BY id, bin)) GROUP BY id) USING (id)""",
 )
 def orientation(t: Tables) -> DataFrame:
-    """Entropy of undirected bearings from the identity H = ln(N) - sum(n ln n) / N, so that bins need no second window."""
-    pairs = gridjoin.range_join(t.segments, mids(t).select("px", "py", "bin"), 200)
-    bins = pairs.groupBy("id", "bin").agg(F.count("*").cast("double").alias("n"))
-    h = bins.groupBy("id").agg((F.ln(F.sum("n")) - F.sum(F.col("n") * F.ln("n")) / F.sum("n")).alias("e"))
+    """Entropy of undirected bearings within 500 in 36 bins."""
+    sums = range_sums(t.segments.select("id", one_leg().alias("legs")), mids(t).select("px", "py", "bin"), [500], codes={"bin": 36})
+    h = sums.select("id", s.entropy([F.col(f"bin_{i}_500") for i in range(36)]).alias("e"))
     full = complete(t.segments.select("id"), h, "id", {"e": 0.0})
     return full.select("id", R6(F.abs("e"), "net_orientation_buf500_entropy"))
 
@@ -143,26 +147,43 @@ _STATS = """count(*) AS n, sum(area) AS cover, avg(height) AS hmean, stddev_pop(
     sum(area * height / 3.0) AS floor, list_sort(list(area)) AS al"""
 
 
-@query(
-    "jn9_buildings_buf200",
-    f"""SELECT s.id, coalesce(n, 0) AS n, round(coalesce(cover, 0) / ba, 6) AS coverage, round(coalesce(hmean, 0), 6) AS hmean, round(coalesce(hstd, 0), 6) AS hstd,
+def _buildings_sql(r: int) -> str:
+    return f"""SELECT s.id, coalesce(n, 0) AS n, round(coalesce(cover, 0) / ba, 6) AS coverage, round(coalesce(hmean, 0), 6) AS hmean, round(coalesce(hstd, 0), 6) AS hstd,
         round(coalesce(hp90, 0), 6) AS hp90, round(coalesce(amed, 0), 6) AS amed, round(coalesce(floor, 0) / ba, 6) AS far,
         round(CASE WHEN coalesce(n, 0) < 2 THEN 0.0 ELSE 2 * list_sum(list_transform(range(1, n + 1), lambda i: al[i] * i)) / (n * cover) - (n + 1.0) / n END, 6) AS gini
-        FROM (SELECT id, pi() * 40000 + 400 * {_LEN} AS ba FROM segments) s LEFT JOIN (SELECT id, {_STATS} FROM ({pairs_sql("buildings", 200)}) GROUP BY id) USING (id)""",
-)
-def buildings(t: Tables) -> DataFrame:
-    pairs = gridjoin.range_join(t.segments, t.buildings.select("px", "py", "area", "height"), 200)
+        FROM (SELECT id, pi() * {r * r} + {2 * r} * {_LEN} AS ba FROM segments) s LEFT JOIN (SELECT id, {_STATS} FROM ({pairs_sql("buildings", r)}) GROUP BY id) USING (id)"""
+
+
+def buildings_within(t: Tables, r: int) -> DataFrame:
+    pairs = gridjoin.range_join(t.segments, t.buildings.select("px", "py", "area", "height"), r)
     stats = pairs.groupBy("id").agg(
         F.count("*").alias("n"), F.sum("area").alias("cover"), F.avg("height").alias("hmean"), F.stddev_pop("height").alias("hstd"), F.percentile("height", 0.9).alias("hp90"),
         F.median("area").alias("amed"), F.sum(F.col("area") * F.col("height") / 3.0).alias("floor"), s.gini(F.col("area")).alias("gini"),
     )
     names = ["n", "cover", "hmean", "hstd", "hp90", "amed", "floor", "gini"]
-    full = complete(t.segments.select("id", g.buffer_area(seg_length(), 200).alias("ba")), stats, "id", {c: 0 for c in names})
+    full = complete(t.segments.select("id", g.buffer_area(seg_length(), r).alias("ba")), stats, "id", {c: 0 for c in names})
     return full.select(
         "id", F.col("n").cast("long").alias("n"), R6(F.col("cover") / F.col("ba"), "coverage"), *[R6(F.col(c), c) for c in ("hmean", "hstd", "hp90", "amed")], R6(F.col("floor") / F.col("ba"), "far"), R6(F.col("gini"), "gini")
     )
 
 
+for _r in RADII:
+    query(f"jn9_buildings_buf{_r}", _buildings_sql(_r))(functools.partial(buildings_within, r=_r))
+
+
+@query(
+    "jn11_nearest_polygon",
+    f"""SELECT id, round(sqrt(min(dx * dx + dy * dy)), 6) AS d FROM (SELECT mid AS id, greatest(b.px - 6 - m.px, m.px - b.px - 6, 0.0) AS dx, greatest(b.py - 5 - m.py, m.py - b.py - height, 0.0) AS dy
+        FROM {_MIDS} m CROSS JOIN buildings b) GROUP BY id""",
+)
+def nearest_polygon(t: Tables) -> DataFrame:
+    """Distance to the nearest footprint, 0 inside; footprints are boxes around the centroids."""
+    x, y, h = F.col("px").cast("double"), F.col("py").cast("double"), F.col("height")
+    box = F.array(g.point(x - 6, y - 5), g.point(x + 6, y - 5), g.point(x + 6, y + h), g.point(x - 6, y + h), g.point(x - 6, y - 5))
+    near = gridjoin.nearest_polygon(mids(t).select(F.col("mid").alias("id"), "px", "py"), t.buildings.select("rid", F.array(box).alias("rings")), "id", 250.0)
+    return near.select("id", R6(F.col("d"), "d"))
+
+
 @query(
     "jn11_nearest_building",
     f"""SELECT mid AS id, (min({{'d': d2, 'i': rid}})).i AS rid, round(sqrt((min({{'d': d2, 'i': rid}})).d), 6) AS setback, CAST(CASE WHEN sqrt((min({{'d': d2, 'i': rid}})).d) <= 15 THEN 1 ELSE 0 END AS INTEGER) AS wall

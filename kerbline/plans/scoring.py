@@ -138,12 +138,12 @@ def feature_table(t: Tables) -> DataFrame:
     points = t.pois.select(F.col("event_id").alias("pid"), "px", "py", word(features.PLACES_1).alias("cat_l1"), word(features.PLACES_2).alias("cat_l2"))
     full = t.cover.select("row", "col").join(t.ndvi, ["row", "col"], "left")
     groups = [
-        features.network(lines, straight=True),
+        features.network(lines),
         features.terrain(lines, t.cover.select("row", "col").join(t.dem, ["row", "col"], "left"), AFFINE, SIDE, SIDE),
         features.urban(lines, t.cells.select("row", "col", "value"), AFFINE, SIDE, SIDE, boundary()),
         features.buildings(lines, polygons, straight=True),
         features.land_cover(lines, t.cover, full, AFFINE, SIDE, SIDE, 80.0),
-        features.places(lines, points, straight=True),
+        features.places(lines, points),
         features.population(lines, t.cells.select("row", "col", "value"), AFFINE, SIDE, SIDE),
     ]
     return features.merge(lines, [materialize(d, "group") for d in groups])

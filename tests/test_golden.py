@@ -258,3 +258,36 @@ def test_windowed_counts(spark):
     d = spark.createDataFrame([("2024-01-01 00:10:00", "a"), ("2024-01-01 00:50:00", "a"), ("2024-01-01 01:00:00", "b")], "t string, event_type string")
     got = windowed_counts(d.withColumn("ts", F.to_timestamp("t"))).collect()
     assert sorted((r.start.hour, r.event_type, r.n) for r in got) == [(0, "a", 2), (1, "b", 1)]
+
+
+def test_range_sums_match_brute_force(spark, monkeypatch):
+    """Polylines and points without length, crowded cells in several places, distances at the limit."""
+    from kerbline.operators import rangesums
+
+    monkeypatch.setattr(rangesums, "POINTS", 40)
+    monkeypatch.setattr(rangesums, "LINES", 7)
+    rng = random.Random(9)
+    lines = [(i, [(rng.randint(0, 300), rng.randint(0, 300)) for _ in range(rng.randint(2, 4))]) for i in range(60)] + [(60, [(5, 5), (5, 5)]), (61, [(9000, 9000), (9001, 9000)])]
+    points = [(rng.randint(0, 300), rng.randint(0, 300), float(rng.randint(1, 5)), rng.randrange(3)) for _ in range(500)] + [(150, 150, 1.0, 1)] * 90
+    d = spark.createDataFrame(lines, "id long, coords array<struct<x:double,y:double>>".replace("double", "int"))
+    d = d.select("id", F.transform("coords", lambda c: F.struct(c["x"].cast("double").alias("x"), c["y"].cast("double").alias("y"))).alias("coords"))
+    p = spark.createDataFrame(points, "px int, py int, v double, k int")
+    got = {r["id"]: r.asDict() for r in rangesums.range_sums(d.select("id", rangesums.all_legs(F.col("coords")).alias("legs")), p, [10, 50], ["v"], {"k": 3}).collect()}
+
+    def far2(x, y, a, b):
+        size = (b[0] - a[0]) ** 2 + (b[1] - a[1]) ** 2
+        t = max(0, min(1, ((x - a[0]) * (b[0] - a[0]) + (y - a[1]) * (b[1] - a[1])) / size)) if size else 0
+        return (x - a[0] - t * (b[0] - a[0])) ** 2 + (y - a[1] - t * (b[1] - a[1])) ** 2
+
+    for i, line_ in lines:
+        want = {f"{n}_{r}": 0.0 for r in (10, 50) for n in ("v", "k_0", "k_1", "k_2")}
+        for x, y, v, k in points:
+            d2 = min(far2(x, y, a, b) for a, b in zip(line_, line_[1:]))
+            for r in (10, 50):
+                if d2 <= r * r + 1e-9:
+                    want[f"v_{r}"] += v
+                    want[f"k_{k}_{r}"] += 1
+        if any(want.values()):
+            assert {c: v for c, v in got[i].items() if c != "id"} == want
+        else:
+            assert i not in got
