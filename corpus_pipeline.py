@@ -21,23 +21,30 @@ def _counted(out: DataFrame, like: DataFrame) -> DataFrame:
 
 
 def quality_rules(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that pass, without their failing lines. Null and empty texts are rejected; repeated rows are judged alike."""
     return _counted(quality.clean(docs), docs)
 
 
 def line_dedup_stage(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, without lines of runs that stand earlier. A null text stays null; rows alike in id and text lose the same."""
     return _counted(line_dedup.dedup_lines(docs), docs)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Copies with a word in fifty replaced go too, so the fingerprints are the wide ones."""
+    """One document of each group, the one of least id; copies with a word in fifty replaced count, by the wide fingerprints.
+
+    Null and wordless texts are one group. A null id comes last; of repeated rows one stays.
+    """
     return simhash.keep_one(docs, classes_of=simhash.similar)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents as often as the mix takes them, copies as repeated rows; a null source is one of its own."""
     return mixing.take(docs)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all rows in sequences; a repeated row has pieces of its own, told apart by sequence and offset."""
     return packing.pack(docs)
 
 

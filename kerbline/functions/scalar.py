@@ -61,9 +61,10 @@ def gini(values: Column) -> Column:
 
 def entropy(counts: list[Column]) -> Column:
     """Shannon entropy (natural) of the shares of non-negative counts; empty bins add nothing."""
-    total = sum(counts[1:], counts[0])
-    terms = [F.when(c > 0, -(c / total) * F.ln(c / total)).otherwise(F.lit(0.0)) for c in counts]
-    return F.when(total > 0, sum(terms[1:], terms[0])).otherwise(F.lit(0.0))
+    every, zero = F.array(*counts), F.lit(0.0)  # as an array, so that many bins do not make a long method
+    total = F.aggregate(every, zero, lambda s, c: s + c)
+    share = F.transform(every, lambda c: c / total)
+    return F.when(total > 0, F.aggregate(share, zero, lambda s, p: s + F.when(p > 0, -p * F.ln(p)).otherwise(zero))).otherwise(zero)
 
 
 def sigmoid(x: Column) -> Column:

@@ -8,6 +8,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from kerbline.functions.geometry import in_polygon
+from kerbline.runtime import materialize
 
 
 def disk_offsets(radius: float, xres: float, yres: float | None = None, by_cell: bool = True) -> list[tuple[int, int]]:
@@ -27,8 +28,7 @@ def box_side(radius: float, res: float = 30.0) -> int:
 def kernel_sums(cells: DataFrame, offsets: list[tuple[int, int]], sums: dict[str, Column], inside: Column | None = None) -> DataFrame:
     """Scatter form of a convolution with ones: each cell is added to all cells at an offset; one shuffle and no join.
 
-    The rows of one offset row are prefix sums' work for wide kernels; here partial aggregation collapses the copies
-    before the shuffle. ``inside`` filters the target cells.
+    Partial aggregation collapses the copies before the shuffle. ``inside`` filters the target cells.
     """
     moves = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in offsets])
     spread = cells.select("row", "col", *[v.alias(k) for k, v in sums.items()], F.inline(moves))
@@ -148,22 +148,22 @@ def block_sum(cells: DataFrame, f: int, height: int, width: int) -> DataFrame:
 def fill_nearest(cells: DataFrame) -> DataFrame:
     """Null cells take the value of the nearest valid cell; ties to the smaller row, then column. Rings double until found."""
     valid, out = cells.where("value is not null"), None
-    waiting = cells.where("value is null").select("row", "col")
-    out, reach = valid.select("row", "col", "value"), 2
+    waiting = materialize(cells.where("value is null").select("row", "col"), "waiting")
+    out, reach, before = valid.select("row", "col", "value"), 2, 0
     if valid.isEmpty():
         return cells
     while not waiting.isEmpty():
-        moves = [(i, j) for i in range(-reach, reach + 1) for j in range(-reach, reach + 1) if i * i + j * j <= reach * reach]
-        spread = F.array(*[F.struct(F.lit(i).alias("i"), F.lit(j).alias("j")) for i, j in moves])
-        want = waiting.select("row", "col", F.inline(spread))
+        moves = F.sequence(F.lit(-reach), F.lit(reach))
+        want = waiting.withColumn("i", F.explode(moves)).withColumn("j", F.explode(moves))
+        want = want.where(f"i * i + j * j <= {reach * reach} and i * i + j * j > {before * before}")
         near = want.join(
             valid.select((F.col("row")).alias("r"), F.col("col").alias("c"), "value"), (F.col("r") == F.col("row") + F.col("i")) & (F.col("c") == F.col("col") + F.col("j"))
         )
         best = near.groupBy("row", "col").agg(F.min(F.struct((F.col("i") ** 2 + F.col("j") ** 2).alias("d"), "r", "c", "value")).alias("b"))
-        found = best.select("row", "col", F.col("b.value").alias("value"))
+        found = materialize(best.select("row", "col", F.col("b.value").alias("value")), "filled")
         out = out.unionByName(found)
-        waiting = waiting.join(found, ["row", "col"], "left_anti")
-        reach *= 2
+        waiting = materialize(waiting.join(found, ["row", "col"], "left_anti"), "waiting")
+        reach, before = 2 * reach, reach
     return out
 
 
