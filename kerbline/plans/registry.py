@@ -29,5 +29,5 @@ def query(name: str, sql: str | None = None) -> Callable:
     return add
 
 
-for _module in ("core", "buffers", "rasters", "graphs", "scoring"):
+for _module in ("core", "buffers", "rasters", "graphs", "scoring", "groups"):
     importlib.import_module(f"kerbline.plans.{_module}")

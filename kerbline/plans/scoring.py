@@ -110,40 +110,3 @@ def uncertain(t: Tables) -> DataFrame:
     x, edges = _inputs(t)
     scores = gnn.predict(x, edges, WEIGHTS, LAYERS, runs=30)
     return gnn.uncertainty(scores).select("id", R6(F.col("score"), "score"), R6(F.col("std"), "pred_uncertainty"))
-
-
-def lines_of(t: Tables) -> DataFrame:
-    """The surrogate segments as two-vertex lines with a road class."""
-    from kerbline.functions import geometry as g
-    from kerbline.functions.scalar import ROAD_CLASSES
-
-    coords = F.array(g.point(F.col("x0"), F.col("y0")), g.point(F.col("x1"), F.col("y1")))
-    road = F.get(F.array(*map(F.lit, ROAD_CLASSES)), (F.col("id") % len(ROAD_CLASSES)).cast("int"))
-    return t.segments.select("id", "a", "b", road.alias("highway"), coords.alias("coords"))
-
-
-@query("feature_table")
-def feature_table(t: Tables) -> DataFrame:
-    """All 204 features of the surrogate segments; at most 3000 and 400 sources of the centralities."""
-    from kerbline.functions import geometry as g
-    from kerbline.plans import features
-    from kerbline.plans.buffers import boundary
-    from kerbline.plans.tables import AFFINE, SIDE
-
-    lines = materialize(lines_of(t), "segments")
-    x, y, h = F.col("px").cast("double"), F.col("py").cast("double"), F.col("height")
-    ring = F.array(g.point(x - 6, y - 5), g.point(x + 6, y - 5), g.point(x + 6, y + h), g.point(x - 6, y + h), g.point(x - 6, y - 5))
-    polygons = t.buildings.select("rid", F.array(ring).alias("rings"), h.cast("double").alias("height"))
-    word = lambda words: F.get(F.array(*map(F.lit, (*words, "none"))), F.pmod(F.xxhash64("event_id", F.lit(len(words))), F.lit(len(words) + 1)).cast("int"))
-    points = t.pois.select(F.col("event_id").alias("pid"), "px", "py", word(features.PLACES_1).alias("cat_l1"), word(features.PLACES_2).alias("cat_l2"))
-    full = t.cover.select("row", "col").join(t.ndvi, ["row", "col"], "left")
-    groups = [
-        features.network(lines),
-        features.terrain(lines, t.cover.select("row", "col").join(t.dem, ["row", "col"], "left"), AFFINE, SIDE, SIDE),
-        features.urban(lines, t.cells.select("row", "col", "value"), AFFINE, SIDE, SIDE, boundary()),
-        features.buildings(lines, polygons, straight=True),
-        features.land_cover(lines, t.cover, full, AFFINE, SIDE, SIDE, 80.0),
-        features.places(lines, points),
-        features.population(lines, t.cells.select("row", "col", "value"), AFFINE, SIDE, SIDE),
-    ]
-    return features.merge(lines, [materialize(d, "group") for d in groups])
