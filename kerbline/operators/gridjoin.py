@@ -70,20 +70,28 @@ def line_range_join(lines: DataFrame, points: DataFrame, r: float, key: str, str
 
 
 def nearest_polygon(points: DataFrame, polygons: DataFrame, key: str, size: float, rounds: int = 12) -> DataFrame:
-    """Distance ``d`` of each point ``(key, px, py)`` to the nearest polygon ``(rid, rings)``, 0 inside; rings of cells grow."""
+    """Distance ``d`` of each point ``(key, px, py)`` to the nearest polygon ``(rid, rings)``, 0 inside; rings of cells grow.
+
+    Polygons whose box lies beyond the reach are not measured: they cannot answer in that round.
+    """
     answered, reach, waiting = None, size, points.select(key, "px", "py")
+    tasks = int(points.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     boxed = materialize(polygons.select("rid", "rings", bounds(F.get("rings", 0)).alias("b")), "polygons")
     for i in range(rounds):
         around = cells(F.col("px") - reach, F.col("py") - reach, F.col("px") + reach, F.col("py") + reach, reach)
-        touched = boxed.select("rid", "rings", F.inline(cells(F.col("b.xmin"), F.col("b.ymin"), F.col("b.xmax"), F.col("b.ymax"), reach)))
-        pairs = waiting.select(key, "px", "py", F.inline(around)).join(touched, ["cx", "cy"])
+        touched = boxed.select("rid", "rings", "b.*", F.inline(cells(F.col("b.xmin"), F.col("b.ymin"), F.col("b.xmax"), F.col("b.ymax"), reach)))
+        # Dealt by key, since pairs are made and measured where the points are if the polygons are few enough to be sent there.
+        pairs = waiting.repartition(tasks, key).select(key, "px", "py", F.inline(around)).join(touched, ["cx", "cy"])
+        if i < rounds - 1:
+            dx, dy = (F.greatest(F.col(f"{c}min") - F.col(f"p{c}"), F.col(f"p{c}") - F.col(f"{c}max"), F.lit(0.0)) for c in "xy")
+            pairs = pairs.where(dx * dx + dy * dy <= reach * reach * (1 + 1e-9))
         best = pairs.groupBy(key).agg(F.min(polygon_distance(F.col("px"), F.col("py"), F.col("rings"))).alias("d"))
         found = materialize(best.where(F.col("d") <= reach) if i < rounds - 1 else best, "nearest")
         answered = found if answered is None else answered.unionByName(found)
         waiting = materialize(waiting.join(found, key, "left_anti"), "waiting")
         if waiting.isEmpty():
             break
-        reach *= 4
+        reach *= 2 if i < 3 else 4
     return answered
 
 
