@@ -4,7 +4,8 @@ A candidate is a run of at least ``SHORTEST`` characters that secrets are made o
 The network reads all of it, in overlapping windows between the characters around them; the best score counts. It is trained here, in numpy, on at most
 ``SAMPLE`` labelled findings: base findings of the corpus are positive, candidates outside them negative, and each
 negative context also lends itself to a generated secret (positive) so that alphabets which the base patterns do not know
-are learned. A quarter is held out and scores are calibrated on it (Platt's scaling). Every threshold up to the highest that finds
+are learned, and to generated paths, hosts, dates and compounds (negative), so that what the corpus happens to lack is not
+taken for a secret. A quarter is held out and scores are calibrated on it (Platt's scaling). Every threshold up to the highest that finds
 ``RECALL`` of its positives keeps that recall; the one taken lies half way, in odds, between it and the negatives.
 """
 
@@ -32,7 +33,7 @@ KINDS = (*BASE, "model")
 #: The same findings of "hex", without stopping at shorter runs.
 _HEX = re.compile(r"[0-9a-f]{16,}")
 SHORTEST, SAMPLE, RECALL = 12, 4000, 0.95
-#: Generated secrets that it learns from at least.
+#: Generated secrets that it learns from at least, and generated plain strings.
 FEWEST = 600
 _CANDIDATE = re.compile(r"[A-Za-z0-9+/_.=-]{%d,}" % SHORTEST)
 #: What the network reads: characters before, of and after the candidate.
@@ -147,7 +148,7 @@ class CharNet:
         return np.concatenate([self._forward(x[i : i + 1024])[-1] for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> CharNet:
-        """Platt's scaling by gradient descent, then the threshold of best precision with that recall on these findings."""
+        """Platt's scaling by gradient descent, then a threshold that keeps that recall, half way in odds to the negatives."""
         z = self.logits(x)
         for _ in range(500):
             err = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30))) - y
@@ -178,6 +179,23 @@ def made_up(rng: np.random.Generator) -> str:
     return heads[rng.integers(len(heads))] + body + digits[rng.integers(10)]
 
 
+def plain_string(rng: np.random.Generator) -> str:
+    """A generated string that is no secret: pronounceable words and numbers between the marks of paths, hosts and dates."""
+    onsets, codas = ("", *"bcdfghklmnprstvw", "br", "st", "gr", "pl", "th", "ch"), ("", "", "", *"nrlstmdk", "ng", "nt", "ss")
+
+    def word() -> str:
+        parts = [onsets[rng.integers(len(onsets))] + "aeiou"[rng.integers(5)] + codas[rng.integers(len(codas))] for _ in range(int(rng.integers(1, 4)))]
+        return ("".join(parts).capitalize, "".join(parts).upper, *["".join(parts).lower] * 4)[rng.integers(6)]()
+
+    def number() -> str:
+        return (f"{rng.integers(100)}", f"{rng.integers(1900, 2100)}", f"{rng.integers(1, 13):02}")[rng.integers(3)]
+
+    marks, out = ("/", ".", "-", "_", "=", "")[rng.integers(6)], ""
+    while len(out) < SHORTEST or rng.random() < 0.5:
+        out += (number() if rng.random() < 0.25 else word()) + (marks if rng.random() < 0.8 else "/.-_"[rng.integers(4)])
+    return out.rstrip("/.-_=").ljust(SHORTEST, "e")
+
+
 def train(findings: list[tuple[str, bool]], recall: float = RECALL, seed: int = 3) -> CharNet:
     """A calibrated network from ``(window, is secret)``; the same findings in any order give the same network."""
     rng = np.random.default_rng(seed)
@@ -187,6 +205,9 @@ def train(findings: list[tuple[str, bool]], recall: float = RECALL, seed: int =
         w, s = plain[i % len(plain)], made_up(rng)
         rows.append((w[:BEFORE] + s[:WITHIN].ljust(WIDTH - BEFORE - AFTER, "\0") + w[-AFTER:], True))
     rows += [(w, False) for w in plain]
+    for i in range(FEWEST):
+        w, s = plain[i % len(plain)], plain_string(rng)
+        rows.append((w[:BEFORE] + s[:WITHIN].ljust(WIDTH - BEFORE - AFTER, "\0") + w[-AFTER:], False))
     x, y = _codes([w for w, _ in rows]), np.array([s for _, s in rows], float)
     fold = np.array([hashlib.md5(w.encode(errors="replace")).digest()[0] % 4 for w, _ in rows])
     # A negative that a network trained without it is sure of is taken for a secret that no base pattern knows.

@@ -4,6 +4,7 @@ import hashlib
 import math
 import random
 import re
+import string
 import zlib
 from collections import Counter
 
@@ -428,6 +429,33 @@ def test_network_on_held_out_findings():
 # --- substring dedup
 
 
+def foreign_secret(rng):
+    """Secrets of forms that the training does not generate."""
+    low, up, digit = string.ascii_lowercase, string.ascii_uppercase, string.digits
+    pick = lambda chars, n: "".join(rng.choice(list(chars), n))
+    kinds = (
+        lambda: "glpat-" + pick(low + up + digit + "_-", 20),
+        lambda: "rk_live_" + pick(low + up + digit, 24),
+        lambda: f"xoxp-{pick(digit, 11)}-{pick(digit, 12)}-{pick(low + digit, 24)}",
+        lambda: pick("123456789ABCDEFGHJKLMNPQRSTUVWXYZabcdefghijkmnopqrstuvwxyz", 51),
+        lambda: ".".join(pick(low + up + digit + "_-", n) for n in (20, 40, 43)),
+        lambda: pick(up + "234567", 32),
+    )
+    return kinds[rng.integers(len(kinds))]()
+
+
+def test_network_on_forms_it_was_not_trained_on():
+    """Other secrets are found, and paths, hosts, addresses, dates and compounds of English words are left alone."""
+    hosts = [secrets.window(f"see {w}.example{i}.com now", 4, 4 + len(f"{w}.example{i}.com")) for i in range(60) for w in ("mail", "www", "static.files")]
+    net = secrets.train([(w, False) for w in hosts])
+    rng = np.random.default_rng(31)
+    found = lambda t: any(net.chances(secrets._codes([w for _, _, w in secrets.candidates(t, [])])) >= net.threshold)
+    assert np.mean([found(f"key {foreign_secret(rng)} here") for _ in range(200)]) >= 0.9
+    words = "river mountain garden winter silver engine market paper bridge lantern copper valley".split()
+    shapes = ("see /{0}/{1}/{2}.html now", "see {0}.{1}-{2}.org now", "mail {0}.{1}@{2}host3.net now", "on 2024-03-11T04:00 {0}-{1}-{2} now", "the {0}-{1}-{2}-like thing")
+    assert np.mean([found(shapes[i % 5].format(*rng.choice(words, 3))) for i in range(200)]) <= 0.05
+
+
 def test_candidates_are_read_whole():
     """A key at the end of a path, a run without digits, and a run with a hexadecimal part."""
     path, key = "/api/v/projects/production-main/settings/", "ghp_" + "aZbYcXdWeVfUgThSiRjQkPlOmNnM"
