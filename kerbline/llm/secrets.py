@@ -5,8 +5,8 @@ The network reads all of it, in overlapping windows between the characters aroun
 ``SAMPLE`` labelled findings: base findings of the corpus are positive, candidates outside them negative, and each
 negative context also lends itself to a generated secret (positive) so that alphabets which the base patterns do not know
 are learned, and to generated paths, hosts, dates and compounds (negative), so that what the corpus happens to lack is not
-taken for a secret. A quarter is held out and scores are calibrated on it (Platt's scaling). Every threshold up to the highest that finds
-``RECALL`` of its positives keeps that recall; the one taken lies half way, in odds, between it and the negatives.
+taken for a secret. A quarter is held out and scores are calibrated on it (Platt's scaling). The
+threshold is the highest that finds ``RECALL`` of its positives.
 """
 
 from __future__ import annotations
@@ -148,21 +148,15 @@ class CharNet:
         return np.concatenate([self._forward(x[i : i + 1024])[-1] for i in range(0, len(x), 1024)]) if len(x) else np.zeros(0)
 
     def calibrate(self, x: np.ndarray, y: np.ndarray, recall: float) -> CharNet:
-        """Platt's scaling by gradient descent, then a threshold that keeps that recall, half way in odds to the negatives."""
+        """Platt's scaling by gradient descent, then the highest threshold that keeps that recall on these findings."""
         z = self.logits(x)
         for _ in range(500):
             err = 1 / (1 + np.exp(-np.clip(self.scale * z + self.shift, -30, 30))) - y
             self.scale, self.shift = self.scale - 0.05 * float((err * z).mean()), self.shift - 0.05 * float(err.mean())
         chance = self.chances(x)
-        sure, plain = np.sort(chance[y > 0.5]), chance[y <= 0.5]
+        sure = np.sort(chance[y > 0.5])
         if len(sure):
-            limit = float(sure[int((1 - recall) * len(sure))])
-            # Thresholds between the negatives and the limit differ little on these findings: half way leaves room on both
-            # sides. Up to a tenth of the negatives may be secrets that the base patterns do not know.
-            below = float(min(np.quantile(plain, 0.9), limit)) if len(plain) else 0.0
-            below = max(below, 1e-9)
-            odds = (limit / max(1 - limit, 1e-12) * below / max(1 - below, 1e-12)) ** 0.5
-            self.threshold = max(odds / (1 + odds), min(limit, 0.5))
+            self.threshold = float(sure[int((1 - recall) * len(sure))])
         return self
 
     def chances(self, x: np.ndarray) -> np.ndarray:
