@@ -291,3 +291,24 @@ def test_range_sums_match_brute_force(spark, monkeypatch):
             assert {c: v for c, v in got[i].items() if c != "id"} == want
         else:
             assert i not in got
+
+
+def test_range_sums_of_straight_lines_hand_on_and_keep_all(spark):
+    """Dense points, many of them at one place, distances at the limit, lines in all directions and without length; every line has a row."""
+    from kerbline.operators import rangesums
+
+    rng = np.random.default_rng(3)
+    ends = rng.integers(0, 120, (80, 4))
+    ends[0], ends[1], ends[2], ends[3], ends[4] = (5, 5, 5, 5), (10, 7, 90, 7), (33, 80, 33, 2), (9000, 9000, 9001, 9000), (0, 0, 100, 100)
+    points = np.concatenate((rng.integers(0, 120, (3000, 2)), np.tile([[60, 60]], (50, 1))))
+    v, k = rng.integers(1, 9, len(points)), rng.integers(0, 3, len(points))
+    lines = spark.createDataFrame([(i, *map(int, e)) for i, e in enumerate(ends)], "id long, x0 long, y0 long, x1 long, y1 long")
+    p = spark.createDataFrame([(int(x), int(y), float(a), int(b)) for (x, y), a, b in zip(points, v, k)], "px long, py long, v double, k int")
+    got = rangesums.range_sums(lines.select("id", rangesums.one_leg().alias("legs"), (F.col("id") * 2.0).alias("twice")), p, [10, 40], ["v"], {"k": 3}, keep=["twice"]).collect()
+    assert sorted(r["id"] for r in got) == list(range(80))
+    for r in got:
+        d2 = rangesums.distance2(points[:, 0].astype(float), points[:, 1].astype(float), ends[r["id"]].astype(float))
+        want = {"id": r["id"], "twice": r["id"] * 2.0}
+        for q in (10, 40):
+            want |= {f"v_{q}": v[d2 <= q * q].sum()} | {f"k_{i}_{q}": (k[d2 <= q * q] == i).sum() for i in range(3)}
+        assert r.asDict() == want
