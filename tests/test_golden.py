@@ -312,3 +312,30 @@ def test_range_sums_of_straight_lines_hand_on_and_keep_all(spark):
         for q in (10, 40):
             want |= {f"v_{q}": v[d2 <= q * q].sum()} | {f"k_{i}_{q}": (k[d2 <= q * q] == i).sum() for i in range(3)}
         assert r.asDict() == want
+
+
+def test_range_stats_match_brute_force(spark):
+    """Points at one place, lines of several legs and without points, nulls: every line's whole multiset, no row for a pair."""
+    from kerbline.operators import rangestats
+
+    rng = random.Random(4)
+    lines = [(i, [(float(rng.randint(0, 200)), float(rng.randint(0, 200))) for _ in range(2 + (i % 9 == 0))]) for i in range(50)] + [(50, [(5.0, 5.0), (5.0, 5.0)]), (51, [(9000.0, 9000.0), (9001.0, 9000.0)])]
+    points = [(float(rng.randint(0, 60) * 3), float(rng.randint(0, 60) * 3), float(rng.randint(1, 40)), None if i % 11 == 0 else float(rng.randint(1, 9))) for i in range(600)]
+    d = spark.createDataFrame(lines, "id long, coords array<struct<x:double,y:double>>")
+    p = spark.createDataFrame(points, "px double, py double, a double, h double")
+    from kerbline.operators.rangesums import all_legs, distance2
+
+    out = rangestats.range_stats(d.select("id", all_legs(F.col("coords")).alias("legs")), p, [8, 45], ["a"], ["h"], {"h": 0.9, "a": 0.5}, ["a"])
+    assert "d2" not in out._jdf.queryExecution().toString()
+    got = {r["id"]: r.asDict() for r in out.collect()}
+    assert sorted(got) == list(range(52))
+    x, y = (np.array([q[c] for q in points]) for c in (0, 1))
+    for i, line in lines:
+        d2 = np.min([distance2(x, y, np.array([*a, *b])) for a, b in zip(line, line[1:])], axis=0)
+        for r in (8, 45):
+            a = np.sort([q[2] for q, e in zip(points, d2) if e <= r * r])
+            h = [q[3] for q, e in zip(points, d2) if e <= r * r and q[3] is not None]
+            n = len(a)
+            gini = 2 * (a * np.arange(1, n + 1)).sum() / (n * a.sum()) - (n + 1) / n if n > 1 else 0
+            want = [n, a.sum(), *((np.mean(h), np.std(h), np.quantile(h, 0.9)) if h else (0, 0, 0)), np.median(a) if n else 0, gini]
+            assert [got[i][f"{c}_{r}"] for c in ("n", "a_sum", "h_mean", "h_std", "h_q", "a_q", "a_gini")] == pytest.approx(want, abs=1e-9)
