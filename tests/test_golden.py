@@ -339,3 +339,27 @@ def test_range_stats_match_brute_force(spark):
             gini = 2 * (a * np.arange(1, n + 1)).sum() / (n * a.sum()) - (n + 1) / n if n > 1 else 0
             want = [n, a.sum(), *((np.mean(h), np.std(h), np.quantile(h, 0.9)) if h else (0, 0, 0)), np.median(a) if n else 0, gini]
             assert [got[i][f"{c}_{r}"] for c in ("n", "a_sum", "h_mean", "h_std", "h_q", "a_q", "a_gini")] == pytest.approx(want, abs=1e-9)
+
+
+def test_nearest_by_tile(spark):
+    """Crowded and far points, several at one place, ids beyond a double's digits; polygons with holes. Every point comes once, without pairs."""
+    rng = random.Random(8)
+    big = 2**61
+    right = [(big + i, rng.randint(0, 90), rng.randint(0, 90)) for i in range(400)] + [(big + 500, 5000, 5000), (-7, 45, 45), (-8, 45, 45)]
+    left = [(i, rng.randint(0, 180) / 2, rng.randint(0, 180) / 2) for i in range(300)] + [(big, 45.0, 45.0), (400, 3000.0, 20.0)]
+    near = gridjoin.nearest_join(spark.createDataFrame(left, "id long, px double, py double"), spark.createDataFrame(right, "rid long, rx long, ry long"), "id", 10.0)
+    want = {p[0]: min(((q[1] - p[1]) ** 2 + (q[2] - p[2]) ** 2, q[0]) for q in right) for p in left}
+    rows = near.collect()
+    assert len(rows) == len(left) and {r.id: (round(r.d**2, 6), r.rid) for r in rows} == want
+    assert "Join" not in near._jdf.queryExecution().optimizedPlan().toString()
+
+    box = lambda x, y, s: [(float(a), float(b)) for a, b in ((x, y), (x + s, y), (x + s, y + s), (x, y + s), (x, y))]
+    shapes = [(i, [box(rng.randint(0, 80), rng.randint(0, 80), 4)]) for i in range(30)] + [(99, [box(100, 100, 60), box(110, 110, 40)])]
+    shapes = spark.createDataFrame(shapes, "rid long, rings array<array<struct<x:double,y:double>>>")
+    spots = spark.createDataFrame([(i, k, *p) for i, (_, *p) in enumerate(left) for k in (0, 1)] + [(1000, 0, 130.0, 130.0), (1001, 0, 105.0, 130.0)], "id long, k int, px double, py double")
+    got = {(r.id, r.k): r.d for r in gridjoin.nearest_polygon(spots, shapes, "id", 10.0, tag="k").collect()}
+    from kerbline.functions.geometry import polygon_distance
+
+    pairs = spots.crossJoin(shapes).groupBy("id", "k").agg(F.min(polygon_distance(F.col("px"), F.col("py"), F.col("rings"))).alias("d")).collect()
+    assert got == {(r.id, r.k): pytest.approx(r.d, abs=1e-9) for r in pairs}
+    assert got[1000, 0] == 20 and got[1001, 0] == 0
