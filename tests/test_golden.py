@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import geometry as g
 from kerbline.functions import scalar as s
 from kerbline.functions import utm
-from kerbline.operators import gnn, graph, gridjoin, raster, relational
+from kerbline.operators import gnn, graph, gridjoin, rangestats, raster, relational
 from kerbline.operators.components import connected_components
 from kerbline.sources import roads, sinks, vector
 from kerbline.streaming.activity import windowed_counts
@@ -363,3 +363,11 @@ def test_nearest_by_tile(spark):
     pairs = spots.crossJoin(shapes).groupBy("id", "k").agg(F.min(polygon_distance(F.col("px"), F.col("py"), F.col("rings"))).alias("d")).collect()
     assert got == {(r.id, r.k): pytest.approx(r.d, abs=1e-9) for r in pairs}
     assert got[1000, 0] == 20 and got[1001, 0] == 0
+
+
+def test_lines_with_the_same_places_share_their_figures():
+    held = np.array([[1, 0, 1], [0, 0, 0], [1, 0, 1], [0, 1, 1]] * 3, bool)
+    sets, which = rangestats._sets(held)
+    assert len(sets) == 3 and (sets[which] == held).all()
+    sets, which = rangestats._sets(np.zeros((2, 0), bool))
+    assert sets.shape == (1, 0) and list(which) == [0, 0]
