@@ -14,6 +14,7 @@ from kerbline.functions import scalar as s
 from kerbline.functions import utm
 from kerbline.operators import gnn, graph, gridjoin, rangestats, raster, relational
 from kerbline.operators.components import connected_components
+from kerbline.operators.rangesums import one_leg
 from kerbline.sources import roads, sinks, vector
 from kerbline.streaming.activity import windowed_counts
 
@@ -371,3 +372,12 @@ def test_lines_with_the_same_places_share_their_figures():
     assert len(sets) == 3 and (sets[which] == held).all()
     sets, which = rangestats._sets(np.zeros((2, 0), bool))
     assert sets.shape == (1, 0) and list(which) == [0, 0]
+
+
+def test_means_of_whole_numbers_are_sums_over_counts(spark):
+    rng = np.random.default_rng(1)
+    heights = [rng.integers(1, 51, n).astype(float).tolist() for n in rng.integers(50, 200, 30)]
+    points = spark.createDataFrame([(3.0 * i, 0.0, h) for i, some in enumerate(heights) for h in some], "px double, py double, h double")
+    lines = spark.createDataFrame([(i, 3.0 * i, 0.0, 3.0 * i + 0.5, 0.0) for i in range(30)], "id long, x0 double, y0 double, x1 double, y1 double")
+    got = {r.id: r.h_mean_2 for r in rangestats.range_stats(lines.select("id", one_leg().alias("legs")), points, [2], spread=["h"]).collect()}
+    assert got == {i: sum(some) / len(some) for i, some in enumerate(heights)}
