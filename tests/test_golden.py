@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 from kerbline.functions import geometry as g
 from kerbline.functions import scalar as s
 from kerbline.functions import utm
-from kerbline.operators import gnn, graph, gridjoin, rangestats, raster, relational
+from kerbline.operators import gnn, graph, gridjoin, rangestats, rangesums, raster, relational
 from kerbline.operators.components import connected_components
 from kerbline.operators.rangesums import one_leg
 from kerbline.sources import roads, sinks, vector
@@ -381,3 +381,24 @@ def test_means_of_whole_numbers_are_sums_over_counts(spark):
     lines = spark.createDataFrame([(i, 3.0 * i, 0.0, 3.0 * i + 0.5, 0.0) for i in range(30)], "id long, x0 double, y0 double, x1 double, y1 double")
     got = {r.id: r.h_mean_2 for r in rangestats.range_stats(lines.select("id", one_leg().alias("legs")), points, [2], spread=["h"]).collect()}
     assert got == {i: sum(some) / len(some) for i, some in enumerate(heights)}
+
+
+def test_entropy_sums_its_bins_once(spark):
+    d = spark.range(3).select(F.col("id").cast("double").alias("a"), F.lit(3.0).alias("b"), (F.col("id") * 2.0).alias("c"))
+    d = d.select("a", s.entropy([F.col(c) for c in "abc"]).alias("e"))
+    assert d._jdf.queryExecution().optimizedPlan().toString().count("aggregate(") == 2  # one total, one sum of parts
+    want = {a: -sum(v / sum(c) * math.log(v / sum(c)) for v in c if v) for a in (0.0, 1.0, 2.0) for c in [(a, 3.0, 2 * a)]}
+    assert {r.a: r.e for r in d.collect()} == pytest.approx(want)
+
+
+def test_strips_share_numbers_among_counts_and_keep_the_order_of_lines():
+    rng = np.random.default_rng(4)
+    xy, codes = rng.integers(0, 200, (3000, 2)).astype(float), rng.integers(0, 7, (3000, 1))
+    ends = rng.integers(60, 140, (200, 2))
+    leg = np.concatenate((ends, ends + rng.integers(-9, 10, (200, 2))), axis=1).astype(float)
+    for weight, packed in ((np.ones(3000), 4), (np.full(3000, 40.0), 3), (np.full(3000, 1000.0), 2), (np.full(3000, 2.0**40), 1)):
+        strips = rangesums.Strips((0, 0, 201, 201), xy, weight, np.zeros((3000, 0)), codes, [7])
+        assert strips.packed == packed
+        near = rangesums.distance2(xy[:, 0], xy[:, 1], leg[:, None]) <= 50 * 50
+        want = np.stack([near[:, codes[:, 0] == c] @ weight[codes[:, 0] == c] for c in range(7)], axis=1)
+        assert (strips.sums(leg, [50.0])[:, 0] == want).all()
