@@ -402,3 +402,12 @@ def test_strips_share_numbers_among_counts_and_keep_the_order_of_lines():
         near = rangesums.distance2(xy[:, 0], xy[:, 1], leg[:, None]) <= 50 * 50
         want = np.stack([near[:, codes[:, 0] == c] @ weight[codes[:, 0] == c] for c in range(7)], axis=1)
         assert (strips.sums(leg, [50.0])[:, 0] == want).all()
+
+
+def test_strips_measure_as_all_distances_are_measured():
+    rng = np.random.default_rng(6)
+    xy = rng.integers(0, 90, (500, 2)) / 2
+    leg = np.concatenate((rng.integers(0, 40, (60, 4)).astype(float), np.full((1, 4), 7.0)))
+    strips = rangesums.Strips((0, 0, 46, 46), xy, np.ones(500), xy[:, :1], np.zeros((500, 0), np.int64), [])
+    row, point = np.repeat(np.arange(61), 500), np.tile(np.arange(500), 61)
+    assert (strips._distance2(point, leg, row) == rangesums.distance2(strips.x[point], strips.y[point], leg[row])).all()
