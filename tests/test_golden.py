@@ -411,3 +411,12 @@ def test_strips_measure_as_all_distances_are_measured():
     strips = rangesums.Strips((0, 0, 46, 46), xy, np.ones(500), xy[:, :1], np.zeros((500, 0), np.int64), [])
     row, point = np.repeat(np.arange(61), 500), np.tile(np.arange(500), 61)
     assert (strips._distance2(point, leg, row) == rangesums.distance2(strips.x[point], strips.y[point], leg[row])).all()
+
+
+def test_paths_read_plain_numbers():
+    ids, starts, dst, w = np.arange(4), np.array([0, 2, 4, 6, 8]), np.array([1, 3, 0, 2, 1, 3, 0, 2]), np.array([1.0, 2.0, 1.0, 1.0, 1.0, 0.5, 2.0, 0.5])
+    held = graph._held((ids, starts, dst, w))
+    assert all(type(v) in (int, float) for part in held for v in part)
+    dist, paths, order, before = graph._paths(held, 0)
+    assert (dist, paths, order) == ([0, 1, 2, 2], [1, 1, 1, 1], [0, 1, 3, 2]) and [list(b) for b in before] == [[], [0], [1], [0]]
+    assert list(graph._credit(held, 0)) == [0, 1, 0, 0]
