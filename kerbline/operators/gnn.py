@@ -2,17 +2,20 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from kerbline.operators.hoods import by_block
 from kerbline.runtime import materialize
 
 Weights = dict[str, np.ndarray]
 EPS = 1e-5
+#: Numbers of gates that are held at once, which a core's cache takes; rows of a batch.
+NUMBERS, ROWS = 1 << 16, 10_000
 
 
 def random_weights(inputs: int, hidden: int, layers: int, seed: int = 0, wide: int | None = None) -> Weights:
@@ -101,10 +104,12 @@ def _rows(df: DataFrame, w: Weights, f) -> DataFrame:
 
 
 def predict(nodes: DataFrame, edges: DataFrame, w: Weights, layers: int, runs: int = 0, dropout: float = 0.2) -> DataFrame:
-    """``(id, run, score)`` for ``nodes(id, x array<double>)`` and ``edges(src, dst)``; run 0 is without dropout.
+    """``(id, run, score)`` for ``nodes(id, x array<double>)``; run 0 is without dropout. All neighbours are used, so results do
+    not depend on sampling.
 
-    All runs of a node are one row, so edges are joined and shuffled once a layer, whatever the number of runs. All
-    neighbours are used, so results do not depend on sampling.
+    Of a segment graph, ``edges`` are the segments' ``ends(id, a, b)``: a block gets the inputs of all segments that it depends on
+    and goes through all layers, so that no vector between them is written. Of any other graph they are ``edges(src, dst)``:
+    these are joined and shuffled once a layer, each with all runs of its far end, which takes much disk for many runs.
     """
     hidden = w["encoder.net.4.weight"].shape[0]
 
@@ -113,14 +118,16 @@ def predict(nodes: DataFrame, edges: DataFrame, w: Weights, layers: int, runs: i
         h = h[:, None] * _kept(ids, runs, h.shape[1], 100, dropout)
         return np.maximum(_batch_norm(_linear(h, w, "encoder.net.4"), w, "encoder.net.5"), 0)
 
-    h = materialize(_rows(nodes.select(F.col("id").cast("long").alias("id"), "x"), w, encode), "encoded")
-    for i in range(layers):
-        h = materialize(_layer(h, edges, w, i, runs, dropout), f"layer{i}")
-
     def head(x: np.ndarray, ids: np.ndarray, w: Weights) -> np.ndarray:
         y = np.maximum(_linear(x.reshape(len(x), runs + 1, hidden), w, "head.0"), 0)
         return _linear(y * _kept(ids, runs, y.shape[2], 200, dropout), w, "head.3")
 
+    if "src" not in edges.columns:
+        scores = _through_blocks(nodes, edges, w, layers, runs, dropout, encode, head)
+        return scores.select("id", F.posexplode("x").alias("run", "score"))
+    h = materialize(_rows(nodes.select(F.col("id").cast("long").alias("id"), "x"), w, encode), "encoded")
+    for i in range(layers):
+        h = materialize(_layer(h, edges, w, i, runs, dropout), f"layer{i}")
     return _rows(h, w, head).select("id", F.posexplode("x").alias("run", "score"))
 
 
@@ -175,6 +182,82 @@ def _layer(h: DataFrame, edges: DataFrame, w: Weights, i: int, runs: int, dropou
     return both.mapInArrow(run, "id long, x array<double>")
 
 
+def _groups(at: np.ndarray) -> Iterator[np.ndarray]:
+    """Positions of equal numbers ``at``, as matrices of groups of one size."""
+    if not len(at):
+        return
+    order = at.argsort(kind="stable")
+    start = np.flatnonzero(np.r_[True, np.diff(at[order]) != 0])
+    size = np.diff(np.r_[start, len(at)])
+    for q in np.unique(size):
+        yield order[start[size == q][:, None] + np.arange(q)]
+
+
+def _gated_means(x: np.ndarray, ids: np.ndarray, ends: Sequence[np.ndarray], p: Weights, name: str) -> np.ndarray:
+    """Means ``(rows, runs + 1, hidden)`` of the gated messages that segments get from all others of their nodes.
+
+    ``ends`` are two nodes of each row, -1 for none. Nodes of as many segments go together, as many as fit into ``NUMBERS``; a
+    node's messages are one product of matrices for each run.
+    """
+    n, runs, hidden = x.shape
+    gate, strength = p[f"{name}.gate.0.weight"], p[f"{name}.gate.2.weight"][0]
+    own, other, message = x @ gate[:, :hidden].T + p[f"{name}.gate.0.bias"], x @ gate[:, hidden:].T, x @ p[f"{name}.W.weight"].T
+    row = [np.flatnonzero(e >= 0) for e in ends]
+    seg, node = np.concatenate(row), np.concatenate([e[k] for e, k in zip(ends, row)])
+    sent, many = np.zeros((len(seg), runs, hidden)), np.zeros(len(seg))
+    of = lambda values, at: np.ascontiguousarray(values[at].transpose(0, 2, 1, 3))
+    for group in _groups(node):
+        q = group.shape[1]
+        some = max(1, NUMBERS // (q * q * runs * hidden))
+        for k in range(0, len(group) if q > 1 else 0, some):
+            place = group[k : k + some]
+            at = seg[place]
+            gates = of(own, at)[:, :, :, None] + of(other, at)[:, :, None]  # (nodes, runs, q, q, hidden)
+            np.maximum(gates, 0, out=gates)
+            strong = (gates.reshape(-1, hidden) @ strength).reshape(gates.shape[:4])
+            strong = sigmoid(strong + p[f"{name}.gate.2.bias"][0])
+            apart = ids[at][:, :, None] != ids[at][:, None]  # a segment sends itself nothing
+            strong *= apart[:, None]
+            sent[place] = (strong @ of(message, at)).transpose(0, 2, 1, 3)
+            many[place] = apart.sum(axis=2)
+    total, count = np.zeros_like(x), np.zeros(n)
+    for side in (slice(0, len(row[0])), slice(len(row[0]), None)):  # a segment is once in each
+        total[seg[side]] += sent[side]
+        count[seg[side]] += many[side]
+    total /= np.maximum(count, 1)[:, None, None]
+    return total
+
+
+def _through_blocks(nodes: DataFrame, ends: DataFrame, w: Weights, layers: int, runs: int, dropout: float, encode, head) -> DataFrame:
+    """``(id, x)`` with the scores of all runs, through all layers block by block."""
+    hidden = w["encoder.net.4.weight"].shape[0]
+    shared = nodes.sparkSession.sparkContext.broadcast(w)  # as large as the network
+
+    def local(ids: np.ndarray, u: np.ndarray, v: np.ndarray, _: np.ndarray, own: np.ndarray, rest: list[pa.Array]) -> Iterator[pa.RecordBatch]:
+        p = shared.value
+        need = [own]  # of the last layer; those before it need all around
+        for _ in range(layers):
+            near = np.zeros(max(u.max(), v.max()) + 2, bool)  # the last is for no node
+            near[u[need[-1]]] = near[v[need[-1]]] = True
+            near[-1] = False
+            need.append(need[-1] | near[u] | near[v])
+        x, rows = _matrix(rest[0]), np.flatnonzero(need[-1])
+        h = encode(x[rows], ids[rows], p)
+        for i in range(layers):
+            to = need[layers - 1 - i][rows]
+            name = f"layers.{i}"
+            mean = _gated_means(h, ids[rows], (u[rows], v[rows]), p, name)[to]
+            rows, h = rows[to], h[to]
+            mean *= _kept(ids[rows], runs, hidden, i, dropout)
+            h += mean
+            h = np.maximum(layer_norm(h, p[f"{name}.norm.weight"], p[f"{name}.norm.bias"]), 0)
+        for k in range(0, len(rows), ROWS):
+            some = slice(k, k + ROWS)
+            yield pa.RecordBatch.from_arrays([pa.array(ids[rows[some]]), _lists(head(h[some], ids[rows[some]], p))], ["id", "x"])
+
+    return by_block(ends, max(1, layers), local, "id long, x array<double>", nodes.select(F.col("id").cast("long").alias("id"), "x"))
+
+
 def uncertainty(scores: DataFrame) -> DataFrame:
     """``(id, score, std)``: run 0's score and the population deviation over the dropout runs."""
     std = F.stddev_pop(F.when(F.col("run") > 0, F.col("score")))

@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from kerbline.operators import gnn, graph
+from kerbline.operators import gnn
+from kerbline.operators.hoods import segment_returns
 from kerbline.plans.graphs import _GRAPH as GRAPH
 from kerbline.plans.registry import query
 from kerbline.plans.tables import Tables
@@ -33,13 +34,12 @@ def scale(t: Tables) -> DataFrame:
 
 
 def _inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
-    """A small model input: four scaled columns and two return probabilities, of every segment."""
+    """A small model input: four scaled columns and two return probabilities, of every segment; the segments' ends."""
     ends = t.segments.select("id", "a", "b")
-    edges = graph.segment_graph(ends)
-    walk = graph.random_walk_returns(edges, 2)
+    walk = segment_returns(ends, 2)
     base = t.segments.select("id", *[(F.col(c) / 10007.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
     x = base.join(walk, "id", "left").select("id", F.array("x0", "y0", "x1", "y1", F.coalesce("p1", F.lit(0.0)), F.coalesce("p2", F.lit(0.0))).alias("x"))
-    return x, edges
+    return x, ends
 
 
 def _number(v: float) -> str:
@@ -100,13 +100,13 @@ _SCORES = network_sql(WEIGHTS, LAYERS, _X, GRAPH)
 )
 def predict(t: Tables) -> DataFrame:
     """Weights are random, as no checkpoint is public. Ranks are of rounded scores, which any order of sums gives alike."""
-    x, edges = _inputs(t)
-    scores = gnn.predict(x, edges, WEIGHTS, LAYERS).select("id", R6(F.col("score"), "score"), F.round("score", 8).alias("s"))
+    x, ends = _inputs(t)
+    scores = gnn.predict(x, ends, WEIGHTS, LAYERS).select("id", R6(F.col("score"), "score"), F.round("score", 8).alias("s"))
     return gnn.uniform_ranks(materialize(scores, "scores"), "s", "pred_density").select("id", "score", R6(F.col("pred_density"), "pred_density"))
 
 
 @query("grf12_agg24_uncertainty")
 def uncertain(t: Tables) -> DataFrame:
-    x, edges = _inputs(t)
-    scores = gnn.predict(x, edges, WEIGHTS, LAYERS, runs=30)
+    x, ends = _inputs(t)
+    scores = gnn.predict(x, ends, WEIGHTS, LAYERS, runs=30)
     return gnn.uncertainty(scores).select("id", R6(F.col("score"), "score"), R6(F.col("std"), "pred_uncertainty"))
