@@ -14,8 +14,8 @@ from kerbline.runtime import materialize
 
 Weights = dict[str, np.ndarray]
 EPS = 1e-5
-#: Numbers of gates that are held at once, which a core's cache takes; rows of a batch.
-NUMBERS, ROWS = 1 << 16, 10_000
+#: Numbers of gates that are held at once, which a core's cache takes, and how many times as many a single node may take; rows of a batch.
+NUMBERS, HUB, ROWS = 1 << 16, 16, 10_000
 
 
 def random_weights(inputs: int, hidden: int, layers: int, seed: int = 0, wide: int | None = None) -> Weights:
@@ -103,12 +103,13 @@ def _rows(df: DataFrame, w: Weights, f) -> DataFrame:
     return df.select("id", "x").mapInArrow(run, "id long, x array<double>")
 
 
-def predict(nodes: DataFrame, edges: DataFrame, w: Weights, layers: int, runs: int = 0, dropout: float = 0.2) -> DataFrame:
+def predict(nodes: DataFrame, edges: DataFrame, w: Weights, layers: int, runs: int = 0, dropout: float = 0.2, cap: int | None = 20) -> DataFrame:
     """``(id, run, score)`` for ``nodes(id, x array<double>)``; run 0 is without dropout. All neighbours are used, so results do
     not depend on sampling.
 
     Of a segment graph, ``edges`` are the segments' ``ends(id, a, b)``: a block gets the inputs of all segments that it depends on
-    and goes through all layers, so that no vector between them is written. Of any other graph they are ``edges(src, dst)``:
+    and goes through all layers, so that no vector between them is written; a node keeps its first ``cap`` segments, or all without a cap.
+    Of any other graph they are ``edges(src, dst)``:
     these are joined and shuffled once a layer, each with all runs of its far end, which takes much disk for many runs.
     """
     hidden = w["encoder.net.4.weight"].shape[0]
@@ -123,7 +124,7 @@ def predict(nodes: DataFrame, edges: DataFrame, w: Weights, layers: int, runs: i
         return _linear(y * _kept(ids, runs, y.shape[2], 200, dropout), w, "head.3")
 
     if "src" not in edges.columns:
-        scores = _through_blocks(nodes, edges, w, layers, runs, dropout, encode, head)
+        scores = _through_blocks(nodes, edges, w, layers, runs, dropout, encode, head, cap)
         return scores.select("id", F.posexplode("x").alias("run", "score"))
     h = materialize(_rows(nodes.select(F.col("id").cast("long").alias("id"), "x"), w, encode), "encoded")
     for i in range(layers):
@@ -209,17 +210,21 @@ def _gated_means(x: np.ndarray, ids: np.ndarray, ends: Sequence[np.ndarray], p:
     for group in _groups(node):
         q = group.shape[1]
         some = max(1, NUMBERS // (q * q * runs * hidden))
+        rows = max(1, HUB * NUMBERS // (q * runs * hidden))  # of a node with very many segments, at once
         for k in range(0, len(group) if q > 1 else 0, some):
             place = group[k : k + some]
             at = seg[place]
-            gates = of(own, at)[:, :, :, None] + of(other, at)[:, :, None]  # (nodes, runs, q, q, hidden)
-            np.maximum(gates, 0, out=gates)
-            strong = (gates.reshape(-1, hidden) @ strength).reshape(gates.shape[:4])
-            strong = sigmoid(strong + p[f"{name}.gate.2.bias"][0])
-            apart = ids[at][:, :, None] != ids[at][:, None]  # a segment sends itself nothing
-            strong *= apart[:, None]
-            sent[place] = (strong @ of(message, at)).transpose(0, 2, 1, 3)
-            many[place] = apart.sum(axis=2)
+            near, far, says = of(own, at), of(other, at), of(message, at)
+            for r in range(0, q, rows):
+                part = slice(r, r + rows)
+                gates = near[:, :, part, None] + far[:, :, None]  # (nodes, runs, rows, q, hidden)
+                np.maximum(gates, 0, out=gates)
+                strong = (gates.reshape(-1, hidden) @ strength).reshape(gates.shape[:4])
+                strong = sigmoid(strong + p[f"{name}.gate.2.bias"][0])
+                apart = ids[at[:, part]][:, :, None] != ids[at][:, None]  # a segment sends itself nothing
+                strong *= apart[:, None]
+                sent[place[:, part]] = (strong @ says).transpose(0, 2, 1, 3)
+                many[place[:, part]] = apart.sum(axis=2)
     total, count = np.zeros_like(x), np.zeros(n)
     for side in (slice(0, len(row[0])), slice(len(row[0]), None)):  # a segment is once in each
         total[seg[side]] += sent[side]
@@ -228,7 +233,7 @@ def _gated_means(x: np.ndarray, ids: np.ndarray, ends: Sequence[np.ndarray], p:
     return total
 
 
-def _through_blocks(nodes: DataFrame, ends: DataFrame, w: Weights, layers: int, runs: int, dropout: float, encode, head) -> DataFrame:
+def _through_blocks(nodes: DataFrame, ends: DataFrame, w: Weights, layers: int, runs: int, dropout: float, encode, head, cap: int | None) -> DataFrame:
     """``(id, x)`` with the scores of all runs, through all layers block by block."""
     hidden = w["encoder.net.4.weight"].shape[0]
     shared = nodes.sparkSession.sparkContext.broadcast(w)  # as large as the network
@@ -255,7 +260,7 @@ def _through_blocks(nodes: DataFrame, ends: DataFrame, w: Weights, layers: int,
             some = slice(k, k + ROWS)
             yield pa.RecordBatch.from_arrays([pa.array(ids[rows[some]]), _lists(head(h[some], ids[rows[some]], p))], ["id", "x"])
 
-    return by_block(ends, max(1, layers), local, "id long, x array<double>", nodes.select(F.col("id").cast("long").alias("id"), "x"))
+    return by_block(ends, max(1, layers), local, "id long, x array<double>", nodes.select(F.col("id").cast("long").alias("id"), "x"), cap)
 
 
 def uncertainty(scores: DataFrame) -> DataFrame:

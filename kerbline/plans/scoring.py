@@ -33,10 +33,10 @@ def scale(t: Tables) -> DataFrame:
     return d.select("rid", R6(F.col("area"), "area"), R6(sigmoid((F.col("height") - 25) / 10.0), "s"), F.greatest(F.col("height") - 25, F.lit(0)).alias("relu"))
 
 
-def _inputs(t: Tables) -> tuple[DataFrame, DataFrame]:
+def _inputs(t: Tables, cap: int | None = 20) -> tuple[DataFrame, DataFrame]:
     """A small model input: four scaled columns and two return probabilities, of every segment; the segments' ends."""
     ends = t.segments.select("id", "a", "b")
-    walk = segment_returns(ends, 2)
+    walk = segment_returns(ends, 2, cap)
     base = t.segments.select("id", *[(F.col(c) / 10007.0).alias(c) for c in ("x0", "y0", "x1", "y1")])
     x = base.join(walk, "id", "left").select("id", F.array("x0", "y0", "x1", "y1", F.coalesce("p1", F.lit(0.0)), F.coalesce("p2", F.lit(0.0))).alias("x"))
     return x, ends
@@ -107,6 +107,7 @@ def predict(t: Tables) -> DataFrame:
 
 @query("grf12_agg24_uncertainty")
 def uncertain(t: Tables) -> DataFrame:
-    x, ends = _inputs(t)
-    scores = gnn.predict(x, ends, WEIGHTS, LAYERS, runs=30)
+    """Over all segments of every node, where ``grf9_11_predict`` and its SQL keep 20."""
+    x, ends = _inputs(t, cap=None)
+    scores = gnn.predict(x, ends, WEIGHTS, LAYERS, runs=30, cap=None)
     return gnn.uncertainty(scores).select("id", R6(F.col("score"), "score"), R6(F.col("std"), "pred_uncertainty"))
